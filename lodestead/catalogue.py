@@ -1,0 +1,5 @@
+"""All registered queries outside the llm subpackage, with their SQL."""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "hybrid_search"
