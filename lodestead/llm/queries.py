@@ -3,10 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import leakage, near_duplicates, neighbours, packing, repeated_lines, shared_spans, splitting
+from lodestead.llm import boilerplate, leakage, near_duplicates, neighbours, packing, repeated_lines, shared_spans, splitting
 from lodestead.tables import table
 
 
+PAGE_COLUMNS = ("page_id", "fetch_id", "url", "title", "blocks")
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    fetched = table(spark, d, "fetched_pages").select("fetch_id", "url", "html")
+    return boilerplate.classify(table(spark, d, "extracted_pages").select(*PAGE_COLUMNS), fetched)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture(_classified(spark, d))
+
+
+def p1_content(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "extracted_pages").select("page_id", "blocks", "text")
+    return boilerplate.own_content(pages, _classified(spark, d)).select("page_id", F.size("blocks").alias("n_blocks"), "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "extracted_pages").select("page_id", "url", "text"))
 
@@ -89,7 +106,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
+    for f in (p1_found, p1_content, p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
 }
 
 #: White space that str.strip removes, for SQL's trim.
