@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.llm import boilerplate, leakage, near_duplicates, neighbours, packing, repeated_lines, shared_spans, splitting
+from lodestead.llm import boilerplate, leakage, near_duplicates, neighbours, packing, repeated_lines, residue, shared_spans, splitting
 from lodestead.tables import table
 
 
@@ -49,6 +49,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(links, classes).withColumnRenamed("id", "page_id")
 
 
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "extracted_pages").select(*PAGE_COLUMNS, "text")
+    return residue.judge_pages(pages, table(spark, d, "fetched_pages").select("fetch_id", "url", "html"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pages(spark, d).where("excluded").select("page_id")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks").select("id", "heading_path", "body"))
 
@@ -106,7 +115,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_content, p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
+    for f in (p1_found, p1_content, p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
 }
 
 #: White space that str.strip removes, for SQL's trim.
