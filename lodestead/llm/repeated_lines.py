@@ -61,33 +61,30 @@ def prefix_span(
     min_pages: int = MIN_PAGES,
     min_share: float = MIN_SHARE,
     max_length: int | None = None,
-) -> DataFrame:
-    """Frequent sequences of consecutive lines per site: (site, pattern array<bigint>, length, support).
-
-    Level-wise prefix projection. The projected database of level k holds (site, page_id, pattern, end position); level
-    k+1 extends every projection by the next line of the page if that is frequent, and keeps the patterns with enough
-    distinct pages. Lines between which only letterless lines lie are consecutive. max_length None: until no pattern
-    grows. Every level is written to the shared folder.
+) -> tuple[DataFrame, DataFrame]:
+    """Frequent sequences of consecutive lines per site, and where they occur.
+
+    patterns (site, pattern array<bigint>, length, support); occurrences (page_id, line_no), the lines of all
+    occurrences of all patterns. Level-wise prefix projection: the projected database of level k holds (site, page_id,
+    pattern, end, its lines); level k+1 extends every projection by the next line of the page if that is frequent, and
+    keeps the patterns with enough distinct pages. Lines between which only letterless lines lie are consecutive.
+    max_length None: until no pattern grows. Every level is written to the shared folder.
     """
     per_site = frequent.select("site", "site_pages").distinct()
-    base = with_site_lines(sequences, frequent).select(
-        "site", "page_id", F.filter("keys", lambda k: k.isNotNull()).alias("line"), "frequent_keys"
-    )
-    base = persisted(
-        base.select("site", "page_id", F.transform("line", lambda k: F.when(F.array_contains("frequent_keys", k), k)).alias("line"))
-        .where(F.exists("line", lambda k: k.isNotNull())),
-        "p2-base",
-    )
-    level = base.select("site", "page_id", F.posexplode("line").alias("end", "key")).where("key is not null")
-    level = level.select("site", "page_id", "end", F.array("key").alias("pattern"))
-    out = frequent.select("site", F.array("key").alias("pattern"), F.lit(1).alias("length"), "support")
+    marked = F.transform("keys", lambda k, i: F.struct(F.when(F.array_contains("frequent_keys", k), k).alias("key"), i.alias("no"), k.isNull().alias("blank")))
+    base = with_site_lines(sequences, frequent).select("site", "page_id", F.filter(marked, lambda x: ~x["blank"]).alias("line"))
+    base = persisted(base.where(F.exists("line", lambda x: x["key"].isNotNull())), "p2-base")
+    level = base.select("site", "page_id", F.posexplode("line").alias("end", "x")).where("x.key is not null")
+    level = level.select("site", "page_id", "end", F.array("x.key").alias("pattern"), F.array("x.no").alias("at"))
+    patterns = frequent.select("site", F.array("key").alias("pattern"), F.lit(1).alias("length"), "support")
+    occurrences = level.select("page_id", F.explode("at").alias("line_no"))
     length = 1
     while max_length is None or length < max_length:
         length += 1
-        grown = level.join(base, ["site", "page_id"]).select(
-            "site", "page_id", (F.col("end") + 1).alias("end"), "pattern", F.get("line", F.col("end") + 1).alias("next")
+        grown = level.join(base, ["site", "page_id"]).withColumn("next", F.get("line", F.col("end") + 1)).where("next.key is not null")
+        grown = grown.select(
+            "site", "page_id", (F.col("end") + 1).alias("end"), F.concat("pattern", F.array("next.key")).alias("pattern"), F.concat("at", F.array("next.no")).alias("at")
         )
-        grown = grown.where("next is not null").select("site", "page_id", "end", F.concat("pattern", F.array("next")).alias("pattern"))
         grown = persisted(grown, f"p2-grown{length}")
         counted = grown.groupBy("site", "pattern").agg(F.countDistinct("page_id").alias("support"))
         counted = counted.where(F.col("support") >= min_pages).join(per_site, "site")
@@ -98,23 +95,21 @@ def prefix_span(
         )
         if counted.isEmpty():
             break
-        out = out.unionByName(counted)
+        patterns = patterns.unionByName(counted)
         level = grown.join(counted.select("site", "pattern"), ["site", "pattern"], "left_semi")
-    return out
+        occurrences = occurrences.unionByName(level.select("page_id", F.explode("at").alias("line_no")))
+    return patterns, occurrences.distinct()
 
 
-def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int | None = 3) -> DataFrame:
     """(page_id, line_no): every occurrence of a frequent sequence, line by line.
 
-    All lines of a frequent sequence are frequent themselves, so the occurrences of the sequences of every length are
-    exactly the occurrences of PrefixSpan's first level.
+    All lines of a frequent sequence are frequent themselves, so sequences longer than max_length would add no line;
+    p2_sequences mines them all.
     """
     sequences = persisted(page_sequences(pages), "p2-sequences")
-    marked = with_site_lines(sequences, frequent_lines(sequences, min_pages, min_share))
-    hits = F.filter(
-        F.transform("keys", lambda k, i: F.when(F.array_contains("frequent_keys", k), i)), lambda i: i.isNotNull()
-    )
-    return marked.select("page_id", F.explode(hits).alias("line_no")).distinct()
+    frequent = persisted(frequent_lines(sequences, min_pages, min_share), "p2-frequent")
+    return prefix_span(sequences, frequent, min_pages, min_share, max_length)[1]
 
 
 def without_repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
