@@ -33,14 +33,17 @@ SLOTS = re.compile(
 #: Fixed value: how filler text begins.
 FILLER_START = re.compile(r"^\W*lorem ipsum\b", re.I)
 
+#: What any slot holds, for a quick look.
+SLOT_HINT = re.compile(r"[\[{%]|__|undefined|NaN")
 WORD = re.compile(r"[^\W_]+")
+MARKS = re.compile(r"[^\w<*>'’\- ]+")
 VARIABLE = re.compile(r"/[\w./\-]+|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d[\d.,:]*")
 
 
-def message(text: str, site: str) -> str:
+def message(text: str, site: str, slots: int = 1) -> str:
     """A block as a message: lower case, slots, paths, numbers, codes and the site's name replaced by <*>."""
-    text = VARIABLE.sub("<*>", SLOTS.sub("<*>", text).lower())
-    text = re.sub(r"[^\w<*>'’\- ]+", " ", text)
+    text = VARIABLE.sub("<*>", (SLOTS.sub("<*>", text) if slots else text).lower())
+    text = MARKS.sub(" ", text)
     return " ".join("<*>" if w == site else w for w in text.split())
 
 
@@ -118,30 +121,24 @@ def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
     """
     line = F.transform(F.split("text", "\n", -1), lambda t: F.struct(F.lit("text").alias("type"), F.lit(None).cast("int").alias("level"), t.alias("text")))
     pages = pages.withColumn("blocks", F.coalesce("blocks", line))
-    classified = boilerplate.classify(pages, fetched, keep=("site", "blocks"))
     names = ("page_id", "pos", "text", "msg", "words", "own", "body", "slots", "short")
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for page, content, site, blocks in zip(*(batch.column(c).to_pylist() for c in ("page_id", "content", "site", "blocks"))):
-                name = boilerplate.site_name(site)
-                own = []
-                for pos, (b, kept) in enumerate(zip(blocks, content)):
-                    text = b["text"]
-                    if text.strip():
-                        own.append((page, pos, text, message(text, name), max(1, len(WORD.findall(text))), kept, b["type"] != "heading", len(SLOTS.findall(text))))
-                short = sum(r[4] for r in own if r[5] and r[6]) <= SHORT_PAGE
-                rows += [(*r, short) for r in own]
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
+    def emit(page: int, site: str, blocks: list[tuple], content: list[bool]) -> list[tuple]:
+        name, rows = boilerplate.site_name(site), []
+        for pos, ((kind, _, text), kept) in enumerate(zip(blocks, content)):
+            if text.strip():
+                slots = len(SLOTS.findall(text)) if SLOT_HINT.search(text) else 0
+                rows.append((page, pos, text, message(text, name, slots), max(1, len(WORD.findall(text))), kept, kind != "heading", slots))
+        short = sum(r[4] for r in rows if r[5] and r[6]) <= SHORT_PAGE
+        return [(*r, short) for r in rows]
 
-    return classified.mapInArrow(run, "page_id bigint, pos int, text string, msg string, words int, own boolean, body boolean, slots int, short boolean")
+    schema = "page_id bigint, pos int, text string, msg string, words int, own boolean, body boolean, slots int, short boolean"
+    return boilerplate.judged(pages, fetched, emit, names, kinds, schema)
 
 
 def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataFrame:
-    """blocks with `residue`: what is filler, has an unresolved slot, or matches a template that stands for content.
+    """blocks, without their text, with `residue`: what is filler, has an unresolved slot, or matches a template that stands for content.
 
     Messages are counted over all pages. Those seen on a short page make the template tree; a template is judged once,
     by a linear classifier of its words plus the log odds of the short and other pages that it is on, and its messages
@@ -165,7 +162,7 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
 
     def filled(text: str) -> bool:
         own = WORD.findall(text.lower())
-        return bool(own) and 2 * sum(w in words for w in own) >= len(own)
+        return bool(own) and 2 * sum(map(words.__contains__, own)) >= len(own)
 
     rows = [(_features(r.msg), True) for r in sample(suspects.where("own"), fit_messages) if not filled(r.text)]
     rows += [(_features(r.msg), False) for r in ordinary if not filled(r.text) and not r.slots]
@@ -189,8 +186,11 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
     def is_filler(text: pd.Series) -> pd.Series:
         return text.map(filled)
 
-    known = blocks.join(verdicts.withColumn("matched", F.lit(True)), "msg", "left")
-    return known.withColumn("residue", (F.col("slots") > 0) | F.coalesce("matched", F.lit(False)) | is_filler("text")).drop("matched")
+    # filler is looked for where words count: in bodies of pages' own text
+    looked = blocks.where("own and body and slots = 0").withColumn("plain", is_filler("text"))
+    rest = blocks.where("not (own and body and slots = 0)").withColumn("plain", F.col("slots") > 0)
+    known = looked.unionByName(rest).drop("text").join(verdicts.withColumn("matched", F.lit(True)), "msg", "left")
+    return known.withColumn("residue", F.col("plain") | F.coalesce("matched", F.lit(False))).drop("matched", "plain", "msg")
 
 
 def judge_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:
