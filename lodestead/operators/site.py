@@ -67,7 +67,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> D
     found = rules.select(F.struct("length", "allow", rule_regex("pattern").alias("regex")).alias("r")).agg(F.collect_list("r").alias("rules"))
     path = url_path_query("url")
     joined = pages.crossJoin(F.broadcast(found))
-    hit = F.filter("rules", lambda r: path.rlike(r["regex"]))
+    hit = F.filter("rules", lambda r: F.rlike(path, r["regex"]))
     best = F.array_max(F.transform(hit, lambda r: F.struct(r["length"], r["allow"])))
     return joined.select("url", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
