@@ -17,9 +17,12 @@ DIM = 64
 #: Vectors that the codebooks are fitted on, at most (about); every vector is indexed.
 FIT_ROWS = 20_000
 #: Centroids of a half: a function of the number of vectors within these limits.
-FEWEST, MOST = 8, 512
-#: Vectors of a list that one task holds at a time.
-LIST_ROWS = 8192
+FEWEST, MOST = 8, 2048
+#: A tile of the grid of cells holds about TILE_ROWS vectors; one task compares at most PART_ROWS vectors of a tile with
+#: the queries of about ASK_ROWS vectors.
+TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
+#: Groups of centroids of a half, at least, whose pairs are the tiles.
+FEWEST_GROUPS = 4
 #: Kept per query and list beyond k, because the first comparison is of 8-bit vectors.
 SPARE = 11
 
@@ -108,11 +111,21 @@ def traverse_all(d1: np.ndarray, d2: np.ndarray, filled: np.ndarray, wanted: int
 
 
 class Codebooks:
-    """Centroids of the two halves of unit vectors."""
+    """Centroids of the two halves of unit vectors, and tiles of the grid of their pairs.
 
-    def __init__(self, sample: np.ndarray, k: int):
+    Near centroids of a half form a group; a tile is a pair of groups. So the cells that a query visits lie in few tiles.
+    """
+
+    def __init__(self, sample: np.ndarray, k: int, groups: int):
         half = sample.shape[1] // 2
         self.half, self.first, self.second = half, kmeans(sample[:, :half], k), kmeans(sample[:, half:], k)
+        one, two = (self._grouped(c, groups) for c in (self.first, self.second))
+        self.tile = (one[:, None] * groups + two[None, :]).ravel().astype(np.int32)
+
+    @staticmethod
+    def _grouped(centroids: np.ndarray, groups: int) -> np.ndarray:
+        means = kmeans(centroids, groups)
+        return ((means * means).sum(1)[None, :] - 2 * centroids @ means.T).argmin(1)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(
@@ -146,7 +159,7 @@ def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Codebooks | Non
         return None
     x = np.stack(rows.column(0).to_numpy(zero_copy_only=False)).astype(np.float32)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return Codebooks(x[np.lexsort(x.T)], centroids_for(n))
+    return Codebooks(x[np.lexsort(x.T)], centroids_for(n), max(FEWEST_GROUPS, round((n / TILE_ROWS) ** 0.5)))
 
 
 def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -188,14 +201,35 @@ def nearest(
             if batch.num_rows:
                 x = _unit(batch.column("vector"))
                 c1, c2 = books.cells(x)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(c1.astype(np.int32)), pa.array(c2.astype(np.int32)), _bytes(x)], names=["key", "c1", "c2", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((c1 * k2 + c2).astype(np.int32)), _bytes(x)], names=["key", "cell", "v"])
 
     keyed = core.select(F.xxhash64("id").alias("key"), "vector")
-    entries = persisted(keyed.mapInArrow(place, "key bigint, c1 int, c2 int, v binary"), "p6-entries")
-    filled = np.zeros((len(books.first), k2), np.int64)
-    for r in entries.groupBy("c1", "c2").agg(F.count("*").alias("n")).collect():  # at most MOST * MOST cells
-        filled[r.c1, r.c2] = r.n
-    parts = np.maximum(1, -(-filled.sum(axis=1) // LIST_ROWS))  # tasks of a list
+    entries = persisted(keyed.mapInArrow(place, "key bigint, cell int, v binary"), "p6-entries")
+    filled = np.zeros((len(books.first), k2), np.int32)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST * MOST cells
+        filled[divmod(r.cell, k2)] = r.n
+    # rows of a tile, and from them its tasks: parts of its vectors times parts of its queries
+    sizes = np.bincount(books.tile, filled.ravel(), minlength=int(books.tile.max()) + 1)
+    parts, salts = (np.maximum(1, np.ceil(sizes / r)).astype(np.int32) for r in (PART_ROWS, ASK_ROWS))
+
+    def tasks_of(tile: np.ndarray, key: np.ndarray, asks: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, task) of the rows with these tiles and keys: a vector goes to one part and all salts, a query the other way."""
+        fixed, spread = (salts[tile], parts[tile]) if asks else (parts[tile], salts[tile])
+        own = (key.view(np.uint64) >> np.uint64(17)) % fixed.astype(np.uint64)
+        row = np.repeat(np.arange(len(tile)), spread)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread)
+        part, salt = (other, own[row].astype(np.int64)) if asks else (own[row].astype(np.int64), other)
+        return row, (tile[row].astype(np.int64) << 32) + (part << 16) + salt
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            row, task = tasks_of(books.tile[cell], batch.column("key").to_numpy(), False)
+            taken = pa.array(row)
+            lists = pa.array([None] * len(row), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(task), batch.column("key").take(taken), batch.column("cell").take(taken), lists, batch.column("v").take(taken)], names=["task", "key", "cell", "cells", "v"]
+            )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -203,33 +237,29 @@ def nearest(
                 batch = whole.slice(s, 1024)
                 x = _unit(batch.column("vector"))
                 q, cell = traverse_all(*books.distances(x), filled, wanted)
-                order = np.lexsort((cell, q))
-                q, cell = q[order], cell[order]
-                c1, c2 = cell // k2, (cell % k2).astype(np.int16)
-                edges = np.concatenate(([0], np.flatnonzero((q[1:] != q[:-1]) | (c1[1:] != c1[:-1])) + 1, [len(q)])) if len(q) else np.array([0])
+                tile = books.tile[cell]
+                order = np.lexsort((cell, tile, q))
+                q, cell, tile = q[order], cell[order].astype(np.int32), tile[order]
+                edges = np.concatenate(([0], np.flatnonzero((q[1:] != q[:-1]) | (tile[1:] != tile[:-1])) + 1, [len(q)])) if len(q) else np.array([0])
                 at = edges[:-1]
                 lists = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(at), [None, pa.py_buffer((edges * 2).astype(np.int64).tobytes()), pa.py_buffer(c2.tobytes())]
+                    pa.large_binary(), len(at), [None, pa.py_buffer((edges * 4).astype(np.int64).tobytes()), pa.py_buffer(cell.tobytes())]
                 ).cast(pa.binary())
-                taken = pa.array(q[at].astype(np.int32))
+                keys = batch.column("key").to_numpy()[q[at]]
+                row, task = tasks_of(tile[at], keys, True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(taken), pa.array(c1[at].astype(np.int32)), lists, _bytes(x).take(taken)], names=["key", "c1", "cells", "v"]
+                    [pa.array(task), pa.array(keys[row]), pa.array(np.full(len(row), -1, np.int32)), lists.take(pa.array(row)), _bytes(x).take(pa.array(q[at][row].astype(np.int32)))],
+                    names=["task", "key", "cell", "cells", "v"],
                 )
 
     asked = keyed if queries is None else (queries.join(excess.select("id"), "id", "left_anti") if crowded else queries).select(F.xxhash64("id").alias("key"), "vector")
-    asked = asked.mapInArrow(ask, "key bigint, c1 int, cells binary, v binary")
-    spread = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("c1") + 1)
-    entry_rows = entries.select(
-        F.xxhash64("c1", F.pmod(F.xxhash64("key"), spread).cast("int")).alias("task"), F.lit(False).alias("asks"), "key", F.col("c2"), F.lit(None).cast("binary").alias("cells"), "v"
-    )
-    ask_rows = asked.withColumn("part", F.explode(F.sequence(F.lit(0), spread - 1))).select(
-        F.xxhash64("c1", "part").alias("task"), F.lit(True).alias("asks"), "key", F.lit(0).alias("c2"), "cells", "v"
-    )
+    schema = "task bigint, key bigint, cell int, cells binary, v binary"
+    entry_rows, ask_rows = entries.mapInArrow(offer, schema), asked.mapInArrow(ask, schema)
     keep, near = k + SPARE, floor - 0.03
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in consecutive(batches):
-            asks, key, c2 = (table.column(c).to_numpy() for c in ("asks", "key", "c2"))
+            key, cell_of = (table.column(c).to_numpy() for c in ("key", "cell"))
             cells, v = table.column("cells").combine_chunks(), table.column("v").combine_chunks()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
 
@@ -238,47 +268,51 @@ def nearest(
                 return x / np.linalg.norm(x, axis=1, keepdims=True)
 
             for s, e in zip(edges[:-1], edges[1:]):
-                have, want = np.flatnonzero(~asks[s:e]) + s, np.flatnonzero(asks[s:e]) + s
+                have, want = np.flatnonzero(cell_of[s:e] >= 0) + s, np.flatnonzero(cell_of[s:e] < 0) + s
                 if not len(have) or not len(want):
                     continue
-                have = have[np.argsort(c2[have], kind="stable")]
-                x, starts = matrix(have), np.searchsorted(c2[have], np.arange(k2 + 1))
+                have = have[np.argsort(cell_of[have], kind="stable")]
+                local, starts = np.unique(cell_of[have], return_index=True)
+                starts = np.append(starts, len(have))
+                slot_of = np.repeat(np.arange(len(local)), np.diff(starts))
+                x = matrix(have)
                 for b in range(0, len(want), 4096):
                     rows = want[b : b + 4096]
                     y = matrix(rows)
-                    lists = [np.frombuffer(z, np.int16) for z in cells.take(pa.array(rows)).to_pylist()]
-                    of = np.repeat(np.arange(len(rows)), [len(z) for z in lists])
-                    cell = np.concatenate(lists)
-                    order = np.argsort(cell, kind="stable")
-                    of, cell = of[order], cell[order]
+                    lists = [np.frombuffer(z, np.int32) for z in cells.take(pa.array(rows)).to_pylist()]
+                    of, cell = np.repeat(np.arange(len(rows)), [len(z) for z in lists]), np.concatenate(lists)
+                    slot = np.minimum(np.searchsorted(local, cell), len(local) - 1)
+                    here = local[slot] == cell  # a part of a tile may lack a cell
+                    of, slot = of[here], slot[here]
+                    order = np.argsort(slot, kind="stable")
+                    of, slot = of[order], slot[order]
                     found_q, found_x, found_s = [], [], []
-                    if near <= -1 and len(cell) > len(rows) * k2 / 8:  # most of the list is asked for: one product under a mask
-                        asked_for = np.zeros((len(rows), k2), bool)
-                        asked_for[of, cell] = True
+                    if near <= -1 and len(slot) > len(rows) * len(local) / 8:  # most cells are asked for: one product under a mask
+                        asked_for = np.zeros((len(rows), len(local)), bool)
+                        asked_for[of, slot] = True
                         for z in range(0, len(rows), 512):
-                            sims = np.where(asked_for[z : z + 512][:, c2[have]], y[z : z + 512] @ x.T, np.float32(-2))
+                            sims = np.where(asked_for[z : z + 512][:, slot_of], y[z : z + 512] @ x.T, np.float32(-2))
                             r = np.argpartition(-sims, min(keep, sims.shape[1] - 1), axis=1)[:, : keep + 1]
                             sims = np.take_along_axis(sims, r, 1)
                             p, t = np.nonzero(sims > -2)
                             found_q.append(rows[z + p])
                             found_x.append(have[r[p, t]])
                             found_s.append(sims[p, t])
-                        cell = cell[:0]
-                    for c in np.unique(cell):
-                        i = of[np.searchsorted(cell, c) : np.searchsorted(cell, c, "right")]
-                        lo, hi = starts[c], starts[c + 1]
-                        if hi > lo:
-                            sims = y[i] @ x[lo:hi].T
-                            if near > -1:
-                                p, r = np.nonzero(sims >= near)
-                            elif hi - lo > keep + 1:
-                                r = np.argpartition(-sims, keep, axis=1)[:, : keep + 1].ravel()
-                                p = np.repeat(np.arange(len(i)), keep + 1)
-                            else:
-                                p, r = (z.ravel() for z in np.indices(sims.shape))
-                            found_q.append(rows[i[p]])
-                            found_x.append(have[lo + r])
-                            found_s.append(sims[p, r])
+                        slot = slot[:0]
+                    ends = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)])) if len(slot) else np.array([0])
+                    for f, t in zip(ends[:-1], ends[1:]):
+                        i, lo, hi = of[f:t], starts[slot[f]], starts[slot[f] + 1]
+                        sims = y[i] @ x[lo:hi].T
+                        if near > -1:
+                            p, r = np.nonzero(sims >= near)
+                        elif hi - lo > keep + 1:
+                            r = np.argpartition(-sims, keep, axis=1)[:, : keep + 1].ravel()
+                            p = np.repeat(np.arange(len(i)), keep + 1)
+                        else:
+                            p, r = (z.ravel() for z in np.indices(sims.shape))
+                        found_q.append(rows[i[p]])
+                        found_x.append(have[lo + r])
+                        found_s.append(sims[p, r])
                     if not found_q:
                         continue
                     q, x_at, sim = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
