@@ -1,9 +1,14 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+# the Python workers import what the tests define
+_HERE = Path(__file__).resolve().parent
+_FOLDERS = [str(_HERE.parent), str(_HERE), str(_HERE / "llm")]
+sys.path[:0] = _FOLDERS
+os.environ["PYTHONPATH"] = os.pathsep.join([*_FOLDERS, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

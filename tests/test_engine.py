@@ -51,7 +51,7 @@ def engine(spark, tmp_path):
 
 def test_ask_reads_what_it_needs(engine):
     r = engine.ask("team plan cost dollars")
-    assert r.grounded and r.citations[0]["url"].endswith("/pricing.html") and r.fetched == [f"{ORIGIN}/pricing.html"]
+    assert r.grounded and r.citations[0]["url"].endswith("/pricing.html") and r.fetched[-1] == f"{ORIGIN}/pricing.html" and len(r.fetched) <= 3
     assert all(c["dense"] >= 0.28 for c in r.citations) and r.citations[0]["title"] == "Pricing"
     again = engine.ask("team plan cost dollars")
     assert again.fetched == [] and again.grounded
