@@ -48,6 +48,8 @@ def choose_seeds(passages: dict[int, list[str]], frequency: dict[str, int], min_
     seeds: dict[str, set[int]] = {}
     for item, tokens in passages.items():
         own = grams(tokens, n)
+        if not own:
+            continue
         per = min(len(own), max(1, min_run - n + 1))
         for i in range(len(own) - per + 1):
             best = min(range(i, i + per), key=lambda k: (frequency.get(own[k], 0), -k))

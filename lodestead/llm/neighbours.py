@@ -23,8 +23,10 @@ FEWEST, MOST = 8, 2048
 TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
 #: Groups of centroids of a half, at least, whose pairs are the tiles.
 FEWEST_GROUPS = 4
-#: Kept per query and list beyond k, because the first comparison is of 8-bit vectors.
-SPARE = 11
+#: Vectors that a query visits, at least.
+WANTED = 512
+#: Kept per query and task beyond k, because the first comparison is of 8-bit vectors.
+SPARE = 7
 
 
 def usable_vectors(table: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
@@ -177,7 +179,7 @@ def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int = 1024, floor: float = -1.0, fit_rows: int = FIT_ROWS,
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int = WANTED, floor: float = -1.0, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar other ids of every query id, ties by id.
 
@@ -327,24 +329,30 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.float32))], names=["qkey", "xkey", "near"])
 
     tasks = entry_rows.unionByName(ask_rows).repartition("task").sortWithinPartitions("task")
-    near_rows = tasks.mapInArrow(compare, "qkey bigint, xkey bigint, near float").distinct()
     by_query = Window.partitionBy("qkey").orderBy(F.desc("near"), "xkey")
-    shortlist = persisted(near_rows.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep).select("qkey", "xkey"), "p6-shortlist")
+    shortlist = tasks.mapInArrow(compare, "qkey bigint, xkey bigint, near float").distinct().withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
+    shortlist = persisted(shortlist.select("qkey", "xkey"), "p6-shortlist")
+    # both orders of a pair are measured once, and only keys and vectors move
+    unordered = shortlist.select(F.least("qkey", "xkey").alias("low"), F.greatest("qkey", "xkey").alias("high")).distinct()
     used = shortlist.select(F.col("qkey").alias("key")).union(shortlist.select("xkey")).distinct()
     exact = persisted(core.withColumn("key", F.xxhash64("id")).join(used, "key", "left_semi").dropDuplicates(["id"]), "p6-exact")
-    pairs = shortlist.join(exact.select(F.col("key").alias("qkey"), "id", F.col("vector").alias("x")), "qkey").join(
-        exact.select(F.col("key").alias("xkey"), F.col("id").alias("neighbour"), F.col("vector").alias("y")), "xkey"
-    )
+    pairs = unordered.join(exact.select(F.col("key").alias("high"), F.col("vector").alias("y")), "high").join(exact.select(F.col("key").alias("low"), F.col("vector").alias("x")), "low")
 
     def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x, y = np.stack(pdf.x.to_numpy()).astype(np.float64), np.stack(pdf.y.to_numpy()).astype(np.float64)
                 sims = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                yield pdf[["id", "neighbour"]].assign(similarity=sims)
-
-    measured = pairs.select("id", "neighbour", "x", "y").mapInPandas(cosine, "id string, neighbour string, similarity double").where("id != neighbour")
-    measured = measured.where(F.col("similarity") >= floor)
+                yield pdf[["low", "high"]].assign(similarity=sims)
+
+    measured = pairs.select("low", "high", "x", "y").mapInPandas(cosine, "low bigint, high bigint, similarity double").where(F.col("similarity") >= floor)
+    measured = persisted(measured, "p6-measured")
+    both = measured.select(F.col("low").alias("qkey"), F.col("high").alias("xkey"), "similarity").union(measured.select("high", "low", "similarity"))
+    if queries is not None:
+        both = both.join(shortlist, ["qkey", "xkey"], "left_semi")
+    names = exact.select("key", "id")
+    measured = both.join(names.withColumnRenamed("key", "qkey"), "qkey").join(names.select(F.col("key").alias("xkey"), F.col("id").alias("neighbour")), "xkey")
+    measured = measured.select("id", "neighbour", "similarity").where("id != neighbour")
     if crowded:
         of_excess = excess if queries is None else excess.join(queries.select("id"), "id", "left_semi")
         measured = measured.unionByName(
@@ -354,7 +362,7 @@ def nearest(
     return ranked.where(F.col("place") <= k).select("id", "neighbour", "similarity", "place")
 
 
-def neighbour_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, wanted: int = 1024) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, wanted: int = WANTED) -> DataFrame:
     """(id_a, id_b), id_a < id_b by code point, of cosine at least `least`, where one is among the k nearest of the other."""
     found = nearest(vectors, None, k, wanted, least)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
