@@ -25,8 +25,8 @@ TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
 FEWEST_GROUPS = 4
 #: Vectors that a query visits, at least.
 WANTED = 512
-#: Kept per query and task beyond k, because the first comparison is of 8-bit vectors.
-SPARE = 7
+#: Vectors are compared as 16-bit numbers, whose cosines are within COARSE of the exact ones; kept per query beyond k for that.
+COARSE, SPARE = 1e-4, 3
 
 
 def usable_vectors(table: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
@@ -146,9 +146,9 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _bytes(x: np.ndarray) -> pa.Array:
-    """Unit vectors as 8-bit numbers, scaled by the largest component; the scale doesn't matter for a cosine."""
-    small = np.round(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(small.shape[1]), len(small), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
+    """Unit vectors as 16-bit numbers, scaled by the largest component; the scale doesn't matter for a cosine."""
+    small = np.round(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * small.shape[1]), len(small), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
 
 
 def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Codebooks | None:
@@ -179,14 +179,15 @@ def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int = WANTED, floor: float = -1.0, fit_rows: int = FIT_ROWS,
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int = WANTED, floor: float = -1.0, fit_rows: int = FIT_ROWS, exact: bool = True,
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar other ids of every query id, ties by id.
 
     vectors, queries: (id, vector) as from usable_vectors; queries None: all vectors. `wanted` vectors are visited per
     query at least, cell by cell of the multi-index in order of summed distance. With a floor, only neighbours of at
-    least that cosine are returned. Similarities are exact. An id never pairs with itself; repeated rows count once. An
-    empty table has no neighbours.
+    least that cosine are returned. exact: similarities are those of the vectors themselves; else they are within COARSE
+    of them, but for those near the floor or so near others that it would matter. An id never pairs with itself; repeated rows count
+    once. An empty table has no neighbours.
     """
     n = vectors.count()
     books = fit(vectors, n, fit_rows)
@@ -257,7 +258,7 @@ def nearest(
     asked = keyed if queries is None else (queries.join(excess.select("id"), "id", "left_anti") if crowded else queries).select(F.xxhash64("id").alias("key"), "vector")
     schema = "task bigint, key bigint, cell int, cells binary, v binary"
     entry_rows, ask_rows = entries.mapInArrow(offer, schema), asked.mapInArrow(ask, schema)
-    keep, near = k + SPARE, floor - 0.03
+    keep, near, queries_are_all = k + SPARE, floor - COARSE, queries is None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in consecutive(batches):
@@ -266,7 +267,7 @@ def nearest(
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
 
             def matrix(at: np.ndarray, v=v) -> np.ndarray:
-                x = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.int8).reshape(len(at), -1).astype(np.float32)
+                x = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), -1).astype(np.float32)
                 return x / np.linalg.norm(x, axis=1, keepdims=True)
 
             for s, e in zip(edges[:-1], edges[1:]):
@@ -326,32 +327,29 @@ def nearest(
                     best = rank < keep
                     out.append((key[q[best]], key[x_at[best]], sim[best]))
             a, b, c = (np.concatenate(z) for z in zip(*out))
+            if queries_are_all:  # what one of two finds holds for the other
+                a, b, c = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((c, c))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.float32))], names=["qkey", "xkey", "near"])
 
     tasks = entry_rows.unionByName(ask_rows).repartition("task").sortWithinPartitions("task")
     by_query = Window.partitionBy("qkey").orderBy(F.desc("near"), "xkey")
-    shortlist = tasks.mapInArrow(compare, "qkey bigint, xkey bigint, near float").distinct().withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
-    shortlist = persisted(shortlist.select("qkey", "xkey"), "p6-shortlist")
-    # both orders of a pair are measured once, and only keys and vectors move
-    unordered = shortlist.select(F.least("qkey", "xkey").alias("low"), F.greatest("qkey", "xkey").alias("high")).distinct()
-    used = shortlist.select(F.col("qkey").alias("key")).union(shortlist.select("xkey")).distinct()
-    exact = persisted(core.withColumn("key", F.xxhash64("id")).join(used, "key", "left_semi").dropDuplicates(["id"]), "p6-exact")
-    pairs = unordered.join(exact.select(F.col("key").alias("high"), F.col("vector").alias("y")), "high").join(exact.select(F.col("key").alias("low"), F.col("vector").alias("x")), "low")
-
-    def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x, y = np.stack(pdf.x.to_numpy()).astype(np.float64), np.stack(pdf.y.to_numpy()).astype(np.float64)
-                sims = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                yield pdf[["low", "high"]].assign(similarity=sims)
-
-    measured = pairs.select("low", "high", "x", "y").mapInPandas(cosine, "low bigint, high bigint, similarity double").where(F.col("similarity") >= floor)
-    measured = persisted(measured, "p6-measured")
-    both = measured.select(F.col("low").alias("qkey"), F.col("high").alias("xkey"), "similarity").union(measured.select("high", "low", "similarity"))
-    if queries is not None:
-        both = both.join(shortlist, ["qkey", "xkey"], "left_semi")
-    names = exact.select("key", "id")
-    measured = both.join(names.withColumnRenamed("key", "qkey"), "qkey").join(names.select(F.col("key").alias("xkey"), F.col("id").alias("neighbour")), "xkey")
+    # two products of the same pair may differ in the last bits
+    found = tasks.mapInArrow(compare, "qkey bigint, xkey bigint, near float").groupBy("qkey", "xkey").agg(F.max("near").alias("near"))
+    found = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
+    own = Window.partitionBy("qkey")
+    last, next_ = (F.max(F.when(F.col("r") == r, F.col("near"))).over(own) for r in (k, k + 1))
+    found = found.select("qkey", "xkey", F.col("near").cast("double").alias("similarity"), last.alias("last"), next_.alias("next"))
+    # what is exact must decide: about the floor, and who is k-th where the k-th and the next are too close to tell
+    sim = F.col("similarity")
+    tied = (F.col("last") - F.col("next") <= 2 * COARSE) & (sim <= F.col("last") + 2 * COARSE) & (sim >= F.col("next") - 2 * COARSE)
+    found = persisted(found.select("qkey", "xkey", "similarity", (F.coalesce(tied, F.lit(False)) | (F.abs(sim - F.lit(floor)) <= COARSE)).alias("doubtful")), "p6-found")
+    doubtful = F.lit(True) if exact else F.col("doubtful")
+    sure = found.where(~doubtful & (F.col("similarity") >= floor)).select("qkey", "xkey", "similarity")
+    found = persisted(sure.unionByName(_measured(core, found.where(doubtful), floor)), "p6-near")
+    names = core.select(F.xxhash64("id").alias("key"), "id").distinct()
+    used = found.select(F.col("qkey").alias("key")).union(found.select("xkey")).distinct()
+    names = persisted(names.join(used, "key", "left_semi"), "p6-names")
+    measured = found.join(names.withColumnRenamed("key", "qkey"), "qkey").join(names.select(F.col("key").alias("xkey"), F.col("id").alias("neighbour")), "xkey")
     measured = measured.select("id", "neighbour", "similarity").where("id != neighbour")
     if crowded:
         of_excess = excess if queries is None else excess.join(queries.select("id"), "id", "left_semi")
@@ -362,7 +360,26 @@ def nearest(
     return ranked.where(F.col("place") <= k).select("id", "neighbour", "similarity", "place")
 
 
+def _measured(core: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
+    """pairs (qkey, xkey) with their exact similarity, without those below the floor; each unordered pair is measured once."""
+    pairs = persisted(pairs.select("qkey", "xkey"), "p6-doubtful")
+    unordered = pairs.select(F.least("qkey", "xkey").alias("low"), F.greatest("qkey", "xkey").alias("high")).distinct()
+    used = persisted(pairs.select(F.col("qkey").alias("key")).union(pairs.select("xkey")).distinct(), "p6-used")
+    own = persisted(core.select(F.xxhash64("id").alias("key"), "vector").join(used, "key", "left_semi").dropDuplicates(["key"]), "p6-exact")
+    both = unordered.join(own.select(F.col("key").alias("high"), F.col("vector").alias("y")), "high").join(own.select(F.col("key").alias("low"), F.col("vector").alias("x")), "low")
+
+    def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = np.stack(pdf.x.to_numpy()).astype(np.float64), np.stack(pdf.y.to_numpy()).astype(np.float64)
+                sims = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+                yield pdf[["low", "high"]].assign(similarity=sims)
+
+    sims = both.select("low", "high", "x", "y").mapInPandas(cosine, "low bigint, high bigint, similarity double").where(F.col("similarity") >= floor)
+    return pairs.withColumn("low", F.least("qkey", "xkey")).withColumn("high", F.greatest("qkey", "xkey")).join(sims, ["low", "high"]).select("qkey", "xkey", "similarity")
+
+
 def neighbour_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, wanted: int = WANTED) -> DataFrame:
     """(id_a, id_b), id_a < id_b by code point, of cosine at least `least`, where one is among the k nearest of the other."""
-    found = nearest(vectors, None, k, wanted, least)
+    found = nearest(vectors, None, k, wanted, least, exact=False)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

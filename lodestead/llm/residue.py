@@ -97,7 +97,7 @@ def mine_templates(messages: DataFrame) -> DataFrame:
 
 def _features(msg: str) -> np.ndarray:
     tokens = msg.split(" ")
-    f = [f"w:{t}" for t in set(tokens)] + [f"b:{a} {b}" for a, b in set(zip(tokens, tokens[1:]))] + [f"x:{msg}", f"s:{tokens[0]}", f"n:{min(len(tokens), 12)}"]
+    f = [f"w:{t}" for t in set(tokens)] + [f"b:{a} {b}" for a, b in set(zip(tokens, tokens[1:]))] + [f"s:{tokens[0]}", f"n:{min(len(tokens), 12)}"]
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & (WEIGHTS - 1) for x in f], np.int32)
 
 
