@@ -150,7 +150,7 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
     )
     counted = persisted(counted, "p5-messages")
     suspects = counted.where("on_short > 0")
-    others = counted.where("on_short = 0")
+    others = counted.where("2 * on_short <= n")
 
     def sample(df: DataFrame, most: int) -> list:
         step = max(1, -(-df.count() // most))
@@ -164,7 +164,7 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
         own = WORD.findall(text.lower())
         return bool(own) and 2 * sum(map(words.__contains__, own)) >= len(own)
 
-    rows = [(_features(r.msg), True) for r in sample(suspects.where("own"), fit_messages) if not filled(r.text)]
+    rows = [(_features(r.msg), True) for r in sample(suspects.where("own and 2 * on_short > n"), fit_messages) if not filled(r.text)]
     rows += [(_features(r.msg), False) for r in ordinary if not filled(r.text) and not r.slots]
     weights = np.zeros(WEIGHTS + 1, np.float32)
     if any(y for _, y in rows) and not all(y for _, y in rows):
@@ -196,21 +196,23 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
 def judge_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:
     """(page_id, residue_words, own_words, excluded): one row per page with text.
 
-    residue_words: words of body blocks that are residue; own_words: of the page's other own body blocks. Excluded are
-    pages with residue where own_words aren't more. A page of headings alone is judged by those. Pages whose blocks
-    and text are null or blank have no row; repeated rows count once.
+    residue_words: words of the page's own body blocks that are residue; own_words: of its other own body blocks.
+    Excluded are pages with residue where own_words aren't more. A page without a body of its own is judged by all its
+    body blocks that are residue, and by its own headings. Pages whose blocks and text are null or blank have no row;
+    repeated rows count once.
     """
     blocks = persisted(page_blocks(pages, fetched), "p5-blocks")
     judged = residue_blocks(blocks)
-    bad = F.col("residue") & (F.col("body") | F.col("own"))
-    fine = ~F.col("residue") & F.col("own")
+    body, own, bad = F.col("body"), F.col("own"), F.col("residue")
 
     def words(which):
         return F.sum(F.when(which, F.col("words")).otherwise(0))
 
     out = judged.groupBy("page_id").agg(
-        words(bad & F.col("body")).alias("bad"), words(fine & F.col("body")).alias("fine"), words(bad).alias("bad_all"), words(fine).alias("fine_all")
+        words(own & body & bad).alias("bad"), words(own & body & ~bad).alias("fine"),
+        words(bad & (own | body)).alias("bad_all"), words(own & ~bad).alias("fine_all"),
     )
     bare = (F.col("bad") + F.col("fine")) == 0
-    out = out.select("page_id", F.when(bare, F.col("bad_all")).otherwise(F.col("bad")).alias("residue_words"), F.when(bare, F.col("fine_all")).otherwise(F.col("fine")).alias("own_words"))
+    heads = F.when(F.col("bad_all") > 0, 0).otherwise(F.col("fine_all"))
+    out = out.select("page_id", F.when(bare, F.col("bad_all")).otherwise(F.col("bad")).alias("residue_words"), F.when(bare, heads).otherwise(F.col("fine")).alias("own_words"))
     return out.withColumn("excluded", (F.col("residue_words") > 0) & (F.col("residue_words") >= F.col("own_words")))
