@@ -196,9 +196,9 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
 def judge_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:
     """(page_id, residue_words, own_words, excluded): one row per page with text.
 
-    residue_words: words of the page's own body blocks that are residue; own_words: of its other own body blocks.
-    Excluded are pages with residue where own_words aren't more. A page without a body of its own is judged by all its
-    body blocks that are residue, and by its own headings. Pages whose blocks and text are null or blank have no row;
+    residue_words: words of the page's own body blocks that are residue, and of a short page's other body blocks that
+    are; own_words: of its other own body blocks. Excluded are pages with residue where own_words aren't more. A page
+    without such blocks is judged by its own headings. Pages whose blocks and text are null or blank have no row;
     repeated rows count once.
     """
     blocks = persisted(page_blocks(pages, fetched), "p5-blocks")
@@ -209,10 +209,8 @@ def judge_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:
         return F.sum(F.when(which, F.col("words")).otherwise(0))
 
     out = judged.groupBy("page_id").agg(
-        words(own & body & bad).alias("bad"), words(own & body & ~bad).alias("fine"),
-        words(bad & (own | body)).alias("bad_all"), words(own & ~bad).alias("fine_all"),
+        words(bad & body & (own | F.col("short"))).alias("bad"), words(own & body & ~bad).alias("fine"), words(own & bad).alias("bad_heads"), words(own & ~bad).alias("fine_heads")
     )
     bare = (F.col("bad") + F.col("fine")) == 0
-    heads = F.when(F.col("bad_all") > 0, 0).otherwise(F.col("fine_all"))
-    out = out.select("page_id", F.when(bare, F.col("bad_all")).otherwise(F.col("bad")).alias("residue_words"), F.when(bare, heads).otherwise(F.col("fine")).alias("own_words"))
+    out = out.select("page_id", F.when(bare, F.col("bad_heads")).otherwise(F.col("bad")).alias("residue_words"), F.when(bare, F.col("fine_heads")).otherwise(F.col("fine")).alias("own_words"))
     return out.withColumn("excluded", (F.col("residue_words") > 0) & (F.col("residue_words") >= F.col("own_words")))
