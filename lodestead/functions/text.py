@@ -42,14 +42,15 @@ def tokenize(c: Column | str, keep_stopwords: bool = False) -> Column:
     """
     raw = raw_tokens(c)
 
-    def of(token: Column, i: Column) -> Column:
+    def of(token: Column, following: Column) -> Column:
         parts = F.when(token.rlike(r"[.\-_/]"), F.concat(F.array(token), F.split(token, r"[.\-_/]"))).otherwise(F.array(token))
         versions = F.transform(F.filter(parts, lambda p: p.rlike(r"^v\d+$")), lambda p: F.substring(p, 2, MAX_TOKEN))
-        following = F.get(raw, i + 1)
         bridge = F.when(token.isin("version", "ver", "v") & following.rlike(r"^\d+$"), F.array(F.concat(F.lit("v"), following))).otherwise(F.array().cast("array<string>"))
-        return F.concat(parts, versions, bridge)
+        # most tokens are neither compounds nor about versions
+        return F.when(token.rlike(r"[.\-_/]|^v(?:\d+|er|ersion)?$"), F.concat(parts, versions, bridge)).otherwise(F.array(token))
 
-    tokens = F.flatten(F.transform(raw, of))
+    # each token with the next one; the last meets null
+    tokens = F.flatten(F.zip_with(raw, F.slice(raw, 2, 2_000_000_000), of))
     if not keep_stopwords:
         tokens = F.filter(tokens, lambda t: ~t.isin(*STOPWORDS))
     return tokens

@@ -7,6 +7,8 @@ from lodestead.functions.text import tokenize
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
+#: Query terms up to which they are sent to every executor; more are joined by shuffling.
+BROADCAST_TERMS = 200_000
 
 
 def unique_rows(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,18 +54,21 @@ def idf_table(table: DataFrame) -> DataFrame:
 def bm25(table: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """(query_id, id, score, place): the k best texts for each of queries(query_id, text), ties by id; k None: all.
 
-    Each distinct term of a query counts once. The one row of corpus statistics is broadcast; the terms are joined with
-    the postings by Spark's choice, so a few queries are broadcast and many are shuffled. Queries without a known term
-    have no rows.
+    Each distinct term of a query counts once. Tokens that no query asks for are dropped before anything is counted. The
+    one row of corpus statistics is broadcast, and so are the query terms if they are few enough. Queries without a
+    known term have no rows.
     """
-    lengths = document_lengths(table)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    index = postings(table).join(wanted, "term", "left_semi")
-    weights = document_frequencies(index).crossJoin(F.broadcast(corpus_stats(lengths)))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    at_hand = F.broadcast if few else lambda df: df
+    tokenized = table.select("id", tokenize("text").alias("tokens"))
+    stats = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    found = tokenized.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(at_hand(terms.select("term").distinct()), "term", "left_semi")
+    index = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    weighted = document_frequencies(index).crossJoin(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl").join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
-    part = idf(F.col("n"), F.col("df")) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    hits = index.join(weights, "term").join(lengths, "id").select("term", "id", part.alias("part")).join(terms, "term")
+    part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    hits = index.join(at_hand(weighted), "term").select("query_id", "id", part.alias("part"))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked if k is None else ranked.where(F.col("place") <= k)
