@@ -15,7 +15,7 @@ from lodestead.tables import persisted
 MIN_RUN = 12
 SEED = 5
 #: Items whose passages one pass over the documents searches for; further items take further passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS = 5_000
 #: Smith-Waterman on words.
 MATCH, MISMATCH, GAP = 2, -2, -1
 

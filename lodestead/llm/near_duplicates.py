@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.grouping import components, consecutive
+from lodestead.llm.grouping import components, consecutive, expanded
 from lodestead.tables import persisted
 
 #: Words of a shingle, similarity of a pair, and words that a record has at least.
@@ -246,11 +246,8 @@ def near_duplicates(
 
 
 def record_pairs(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the records behind links, and the copies within classes."""
-    left, right = classes.select(F.col("rep").alias("a"), F.col("id").alias("x")), classes.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    copies = classes.join(classes.select("rep", F.col("id").alias("other")), "rep").where("id < other").select("id", "other")
-    return across.union(copies).distinct()
+    """(a, b), a < b: the records behind links, and the copies within classes, as expanded gives them."""
+    return expanded(links.select("a", "b"), classes)
 
 
 def groups(links: DataFrame, classes: DataFrame) -> DataFrame:

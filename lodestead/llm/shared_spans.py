@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestead.llm.grouping import expanded
 from lodestead.tables import persisted
 
 #: Characters of a shared span, and of the block whose hash anchors it.
 MIN_SPAN = 300
 BLOCK = 200
-#: Rows of candidate pairs that one task extends at a time.
-SALTS = 64
+#: Occurrences of one anchor that are joined with the others at a time.
+ANCHOR_ROWS = 2000
 #: An odd multiplier modulo 2^64 and its inverse, for the rolling hash.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -120,10 +121,12 @@ def shared_spans(documents: DataFrame, min_span: int = MIN_SPAN, block: int = BL
     # a doc_id that occurs in repeated rows gives the same text again
     texts = documents.where(F.char_length("text") >= min_span).select(F.col("doc_id").cast("bigint").alias("rep"), "text")
     found = persisted(anchor_rows(texts.join(reps, "rep", "left_semi"), min_span, block).distinct(), "p9-anchors")
-    several = found.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    hits = persisted(found.join(several, "key", "left_semi"), "p9-hits")
-    other = hits.select("key", F.col("rep").alias("rep_b"), F.col("pos").alias("pos_b"))
-    pairs = hits.select("key", F.col("rep").alias("rep_a"), F.col("pos").alias("pos_a")).join(other, "key").where("rep_a < rep_b")
+    several = found.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
+    hits = persisted(found.join(several.select("key", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("parts")), "key"), "p9-hits")
+    # the occurrences of a frequent anchor are cut into parts, each of which meets all of them in a task of its own
+    left = hits.select("key", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.col("rep").alias("rep_a"), F.col("pos").alias("pos_a"))
+    other = hits.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("rep_b"), F.col("pos").alias("pos_b"))
+    pairs = left.join(other, ["key", "part"]).where("rep_a < rep_b")
     # one row per diagonal and stretch of it: anchors of one maximal repeat lie on one diagonal
     pairs = pairs.groupBy("rep_a", "rep_b", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.array_sort(F.collect_set("pos_a")).alias("seeds"))
     pairs = persisted(pairs, "p9-pairs")
@@ -154,15 +157,10 @@ def shared_spans(documents: DataFrame, min_span: int = MIN_SPAN, block: int = BL
 
 
 def document_pairs(spans: DataFrame, classes: DataFrame, documents: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: the documents behind spans, with copies of a text of min_span characters or more."""
+    """(doc_a, doc_b), doc_a < doc_b: the documents behind spans, with copies of a text of min_span characters or more, as expanded gives them."""
     long = documents.where(F.char_length("text") >= min_span).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    member = classes.join(long, "doc_id", "left_semi")
-    links = spans.select("rep_a", "rep_b").distinct()
-    across = links.join(member.select(F.col("rep").alias("rep_a"), F.col("doc_id").alias("a")), "rep_a").join(
-        member.select(F.col("rep").alias("rep_b"), F.col("doc_id").alias("b")), "rep_b"
-    )
-    copies = member.join(member.select("rep", F.col("doc_id").alias("other")), "rep").where("doc_id < other")
-    return across.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).union(copies.select("doc_id", "other")).distinct()
+    member = classes.join(long, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "rep")
+    return expanded(spans.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), member).toDF("doc_a", "doc_b")
 
 
 def shared_share(spans: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:

@@ -214,6 +214,15 @@ def test_hot_bucket_is_cut_and_loses_nothing(spark):
     assert got == {(a, b) for a, b in combinations(range(n), 2) if sum(int(x ^ y).bit_count() for x, y in zip(f[a], f[b])) <= 1}
 
 
+def test_many_copies_are_paired_with_their_rep(spark):
+    classes = spark.createDataFrame([(i, 0) for i in range(10)] + [(20, 20), (21, 20), (30, 30)], "id bigint, rep bigint")
+    links = spark.createDataFrame([(0, 20), (20, 30)], "a bigint, b bigint")
+    some = {(0, i) for i in range(1, 10)} | {(20, 21), (0, 20), (0, 21), (20, 30), (21, 30)}
+    assert {tuple(r) for r in grouping.expanded(links, classes, 4).collect()} == some
+    every = {tuple(sorted(p)) for p in combinations(range(10), 2)} | {(i, j) for i in range(10) for j in (20, 21)} | {(20, 21), (20, 30), (21, 30)}
+    assert {tuple(r) for r in grouping.expanded(links, classes).collect()} == every
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 80), (7, 7)]
     got = dict(map(tuple, grouping.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
