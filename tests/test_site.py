@@ -118,8 +118,8 @@ def test_suggestions(spark):
 @pytest.mark.parametrize(
     ("titles", "want"),
     [
-        (["Pricing — Meridian", "Limits — Meridian docs"], ["Pricing", "Limits"]), (["Meridian | Pricing", "Meridian | Limits"], ["Pricing", "Limits"]),
-        (["Limits — Docs — Meridian", "Meridian", "A — Meridian"], ["Limits — Docs", "Meridian", "A"]), (["Pricing — Meridian", "Limits"], ["Pricing — Meridian", "Limits"]), (["A — B", "C — D"], ["A — B", "C — D"]),
+        (["Pricing — Orbitel", "Limits — Orbitel docs"], ["Pricing", "Limits"]), (["Orbitel | Pricing", "Orbitel | Limits"], ["Pricing", "Limits"]),
+        (["Limits — Docs — Orbitel", "Orbitel", "A — Orbitel"], ["Limits — Docs", "Orbitel", "A"]), (["Pricing — Orbitel", "Limits"], ["Pricing — Orbitel", "Limits"]), (["A — B", "C — D"], ["A — B", "C — D"]),
     ],
 )
 def test_shortener(spark, titles, want):
