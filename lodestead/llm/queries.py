@@ -130,7 +130,41 @@ sites as (select site, count(distinct page_id) as site_pages from pages group by
 counted as (select site, k, count(distinct page_id) as support from keyed where k <> '' group by site, k),
 repeated as (select site, k, support from counted join sites using (site) where support >= 5 and support * 10 >= site_pages)"""
 
+_P3 = r"""
+with pages as (select distinct page_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from extracted_pages where page_id is not null and text is not null),
+long as (select page_id, w from pages where len(w) >= 60),
+shingles as (select distinct page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from long),
+sizes as (select page_id, count(*) as n from shingles group by 1),
+common as (select a.page_id as page_a, b.page_id as page_b, count(*) as c from shingles a join shingles b on a.s = b.s and a.page_id < b.page_id group by 1, 2)
+select page_a, page_b from common join sizes x on x.page_id = page_a join sizes y on y.page_id = page_b where c >= 0.7 * (x.n + y.n - c) - 1e-9"""
+
+_P6 = r"""
+with raw as (select 'c' as t, id, vector from chunk_vectors union all select 'm', url, vector from manifest_entries),
+good as (select distinct t, id, vector::double[] as v from raw where id is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0
+  and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+units as (select t, id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from good),
+pairs as (select a.t, a.id as q, b.id as n, list_inner_product(a.u, b.u) as s from units a join units b on a.t = b.t and a.id <> b.id),
+near as (select *, row_number() over (partition by t, q order by s desc, n) as r from pairs where s >= 0.9)
+select distinct least(q, n) as id_a, greatest(q, n) as id_b from near where r <= 5"""
+
+_P8 = r"""
+with docs as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null and text is not null),
+items as (select distinct item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from golden_cases where item_id is not null and passage is not null),
+d as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from docs where len(w) >= 12),
+p as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from items where len(w) >= 12)
+select distinct doc_id, item_id from d join p using (g)"""
+
+_P9 = r"""
+with docs as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 300),
+windows as (select doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from docs)),
+once as (select distinct doc_id, h from windows)
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from once a join once b on a.h = b.h and a.doc_id < b.doc_id"""
+
 SQL = {
     "p2_found": f"with {_P2_REPEATED} select distinct page_id, cast(line_no as int) as line_no from keyed join repeated using (site, k)",
+    "p3_found": _P3,
+    "p6_found": _P6,
+    "p8_found": _P8,
+    "p9_found": _P9,
     "p4_found": f"select distinct id from chunks where length(trim(body, {_SPACE})) > 900",
 }
