@@ -8,7 +8,7 @@ GOLDEN_SCHEMA = "query string, expect array<string>, note string, answerMustCont
 
 def text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(url, xml) of whole text files, such as sitemaps or robots.txt; the url is the file's. Missing files give no rows."""
-    rows = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(paths)
+    rows = spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("xml"))
 
 
