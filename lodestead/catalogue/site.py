@@ -126,10 +126,11 @@ def pending_pages(spark: SparkSession, d: str) -> DataFrame:
     return _pending(spark, d).select("url", "slug_title")
 
 
-@R.query(f"""with {_PENDING}, needs as (select p.url, p.priority, cast(len(list_distinct(list_filter(regexp_split_to_array(lower(r.text), '[^a-z0-9]+'), lambda w: w <> ''))) as int) as need from pending p join routes r on r.id = p.url)
-select url, need, cast(row_number() over (order by need, coalesce(priority, 0) desc, url) as int) as place from needs""")
+@R.query(rf"""with {_PENDING}, needs as (select p.url, p.priority, cast(len(list_distinct(list_filter(regexp_split_to_array(lower(r.text), '[^a-z0-9]+'), lambda w: w <> ''))) as int) as need from pending p join routes r on r.id = p.url)
+select url, need, cast(row_number() over (partition by coalesce(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') order by need, coalesce(priority, 0) desc, url) as int) as place from needs""")
 def routing_need_order(spark: SparkSession, d: str) -> DataFrame:
-    return site.by_routing_need(_pending(spark, d)).select("url", "need", "place")
+    pending = _pending(spark, d).withColumn("site", F.coalesce(site_of(F.col("url")), F.lit("")))
+    return site.by_routing_need(pending, "site").select("url", "need", "place")
 
 
 @R.query(f"with {_ENTRIES} select url, slug_title, priority from entries order by coalesce(priority, 0) desc, url limit 500")

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -43,6 +42,3 @@ def embed(table: DataFrame, text_col: str = "text", embedder: Embedder = hashed_
 
 def embed_one(text: str, embedder: Embedder = hashed_words) -> list[float]:
     return [float(x) for x in embedder([text[:2000]])[0]]
-
-
-__all__ = ["Embedder", "embed", "embed_one", "hashed_words", "F"]

@@ -195,10 +195,15 @@ def pending_pages(manifest: DataFrame, read: DataFrame, skipped: DataFrame | Non
     return out if skipped is None else out.join(skipped.select("url").distinct(), "url", "left_anti")
 
 
-def by_routing_need(manifest: DataFrame) -> DataFrame:
-    """Entries with `need` and `place`: those that offer the fewest distinct words first, then by priority, then by url."""
+def by_routing_need(manifest: DataFrame, per: str | None = None) -> DataFrame:
+    """Entries with `need` and `place`: those that offer the fewest distinct words first, then by priority, then by url.
+
+    per: a column, such as the site, within whose values the places are counted; without it the manifest is that of one
+    site, and so small that one task orders it.
+    """
     ranked = manifest.withColumn("need", routing_need(route_text()))
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("need", F.desc(F.coalesce("priority", F.lit(0.0))), "url")))
+    window = (Window.partitionBy(per) if per else Window).orderBy("need", F.desc(F.coalesce("priority", F.lit(0.0))), "url")
+    return ranked.withColumn("place", F.row_number().over(window))
 
 
 def manifest_is_fresh(built_at: Column | str, now: Column | str, age: int = MANIFEST_AGE) -> Column:

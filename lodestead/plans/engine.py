@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestead.embedding import Embedder, embed, embed_one, hashed_words
 from lodestead.functions import chunking, html, text
-from lodestead.functions.urls import slug_title, url_origin, url_segments
+from lodestead.functions.urls import slug_title, url_segments
 from lodestead.operators import answers, fusion, index, site, topics
 from lodestead.plans.store import Store
 from lodestead.tables import site_of
@@ -285,6 +285,3 @@ def table_fetcher(pages: DataFrame) -> Fetcher:
         )
 
     return fetch
-
-
-__all__ = ["AskResult", "Engine", "Fetcher", "Generator", "Hooks", "chunk_rows", "enriched_rows", "page_rows", "table_fetcher", "url_origin"]
