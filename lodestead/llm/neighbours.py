@@ -164,6 +164,16 @@ def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Codebooks | Non
     return Codebooks(x[np.lexsort(x.T)], centroids_for(n), max(FEWEST_GROUPS, round((n / TILE_ROWS) ** 0.5)))
 
 
+def once(vectors: DataFrame) -> DataFrame:
+    """vectors (id, vector) without repeated rows; only the rows of ids that occur more than once are shuffled as a whole."""
+    keyed = vectors.withColumn("key", F.xxhash64("id"))
+    repeated = persisted(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "p6-repeated")
+    if repeated.isEmpty():
+        return vectors
+    rows = persisted(keyed.join(repeated, "key", "left_semi").select("id", "vector").distinct(), "p6-once")
+    return keyed.join(repeated, "key", "left_anti").select("id", "vector").unionByName(rows)
+
+
 def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(excess (id, copy), first (copy, id, place)) of identical vectors that more than k + 1 ids share.
 
@@ -189,6 +199,7 @@ def nearest(
     of them, but for those near the floor or so near others that it would matter. An id never pairs with itself; repeated rows count
     once. An empty table has no neighbours.
     """
+    vectors, queries = once(vectors), None if queries is None else once(queries)
     n = vectors.count()
     books = fit(vectors, n, fit_rows)
     if books is None:

@@ -301,6 +301,19 @@ def test_crowd_of_equal_vectors(spark):
         assert [n for _, n in sorted(found)] == [f for f in first if f != i][:5]
 
 
+def test_repeated_rows_count_once(spark):
+    x = np.concatenate([vectors(5, 40), vectors(6, 40)])
+    rows = [(f"v{i:04}", v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "id string, vector array<float>")
+    repeated = table.unionByName(spark.createDataFrame([rows[3]] * 60 + [rows[5]] * 9, table.schema))
+    got = {(r.id, r.place): r.neighbour for r in neighbours.nearest(repeated, repeated, wanted=80).collect()}
+    y = x.astype(np.float64)
+    s = y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
+    np.fill_diagonal(s, -2)
+    assert got == {(f"v{i:04}", p + 1): f"v{j:04}" for i in range(80) for p, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+    assert sorted(map(tuple, neighbours.once(repeated).select("id").collect())) == [(i,) for i, _ in rows]
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([("a", None)], "id string, vector array<float>")
     assert neighbours.nearest(neighbours.usable_vectors(table)).count() == 0
