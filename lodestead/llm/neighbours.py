@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,11 @@ TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
 FEWEST_GROUPS = 4
 #: Vectors that a query visits, at least.
 WANTED = 512
-#: Vectors are compared as 16-bit numbers, whose cosines are within COARSE of the exact ones; kept per query beyond k for that.
-COARSE, SPARE = 1e-4, 3
+#: Vectors are compared as 16-bit numbers, whose cosines are within COARSE of the exact ones: rounding turns a vector of DIM
+#: numbers by at most sqrt(DIM) * 0.5 / 32767 = 1.22e-4, two of them by 2.45e-4.
+COARSE = 2.5e-4
+#: Decimals of a unit vector's components by which copies are told, whatever their lengths.
+DIRECTION = 12
 
 
 def usable_vectors(table: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
@@ -175,11 +179,20 @@ def once(vectors: DataFrame) -> DataFrame:
 
 
 def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(excess (id, copy), first (copy, id, place)) of identical vectors that more than k + 1 ids share.
+    """(excess (id, copy), first (copy, id, place)) of vectors of one direction that more than k + 1 ids share.
 
-    The first k + 1 ids of such a vector stay in the index; a vector in excess has the first k of them as neighbours.
+    The first k + 1 ids of such a direction stay in the index; a vector in excess has the first k of them as neighbours.
     """
-    members = vectors.select(F.xxhash64("vector").alias("copy"), "id").distinct()
+
+    def direction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), DIRECTION) + 0.0  # no -0.0
+                copy = np.array([xxhash.xxh64_intdigest(v) for v in x], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(copy), batch.column("id")], names=["copy", "id"])
+
+    members = vectors.select("id", "vector").mapInArrow(direction, "copy bigint, id string").distinct()
     many = members.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("copy")
     crowded = persisted(members.join(many, "copy", "left_semi"), "p6-crowded")
     # row_number under a limit keeps k + 1 rows of a group before the shuffle
@@ -195,9 +208,10 @@ def nearest(
 
     vectors, queries: (id, vector) as from usable_vectors; queries None: all vectors. `wanted` vectors are visited per
     query at least, cell by cell of the multi-index in order of summed distance. With a floor, only neighbours of at
-    least that cosine are returned. exact: similarities are those of the vectors themselves; else they are within COARSE
-    of them, but for those near the floor or so near others that it would matter. An id never pairs with itself; repeated rows count
-    once. An empty table has no neighbours.
+    least that cosine are returned. Every visited vector within 2 * COARSE of the k-th is kept until exact cosines decide.
+    exact: similarities are those of the vectors themselves; else only those near the floor are, and those that may or may
+    not be among the k, and the others are within COARSE of them. An id never pairs with itself; repeated rows count once.
+    An empty table has no neighbours.
     """
     vectors, queries = once(vectors), None if queries is None else once(queries)
     n = vectors.count()
@@ -269,7 +283,7 @@ def nearest(
     asked = keyed if queries is None else (queries.join(excess.select("id"), "id", "left_anti") if crowded else queries).select(F.xxhash64("id").alias("key"), "vector")
     schema = "task bigint, key bigint, cell int, cells binary, v binary"
     entry_rows, ask_rows = entries.mapInArrow(offer, schema), asked.mapInArrow(ask, schema)
-    keep, near, queries_are_all = k + SPARE, floor - COARSE, queries is None
+    band, near, queries_are_all = 2 * COARSE, floor - COARSE, queries is None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in consecutive(batches):
@@ -277,6 +291,11 @@ def nearest(
             cells, v = table.column("cells").combine_chunks(), table.column("v").combine_chunks()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
 
+            def kth(sims: np.ndarray) -> np.ndarray:
+                """The k-th largest of each row besides the query itself, or less."""
+                at = max(0, sims.shape[1] - k - 1)
+                return np.partition(sims, at, axis=1)[:, at : at + 1]
+
             def matrix(at: np.ndarray, v=v) -> np.ndarray:
                 x = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), -1).astype(np.float32)
                 return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -306,12 +325,10 @@ def nearest(
                         asked_for[of, slot] = True
                         for z in range(0, len(rows), 512):
                             sims = np.where(asked_for[z : z + 512][:, slot_of], y[z : z + 512] @ x.T, np.float32(-2))
-                            r = np.argpartition(-sims, min(keep, sims.shape[1] - 1), axis=1)[:, : keep + 1]
-                            sims = np.take_along_axis(sims, r, 1)
-                            p, t = np.nonzero(sims > -2)
+                            p, r = np.nonzero((sims > -2) & (sims >= kth(sims) - band))
                             found_q.append(rows[z + p])
-                            found_x.append(have[r[p, t]])
-                            found_s.append(sims[p, t])
+                            found_x.append(have[r])
+                            found_s.append(sims[p, r])
                         slot = slot[:0]
                     ends = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)])) if len(slot) else np.array([0])
                     for f, t in zip(ends[:-1], ends[1:]):
@@ -319,11 +336,8 @@ def nearest(
                         sims = y[i] @ x[lo:hi].T
                         if near > -1:
                             p, r = np.nonzero(sims >= near)
-                        elif hi - lo > keep + 1:
-                            r = np.argpartition(-sims, keep, axis=1)[:, : keep + 1].ravel()
-                            p = np.repeat(np.arange(len(i)), keep + 1)
                         else:
-                            p, r = (z.ravel() for z in np.indices(sims.shape))
+                            p, r = np.nonzero(sims >= kth(sims) - band)
                         found_q.append(rows[i[p]])
                         found_x.append(have[lo + r])
                         found_s.append(sims[p, r])
@@ -334,8 +348,8 @@ def nearest(
                     q, x_at, sim = q[other], x_at[other], sim[other]
                     order = np.lexsort((-sim, q))
                     q, x_at, sim = q[order], x_at[order], sim[order]
-                    rank = np.arange(len(q)) - np.searchsorted(q, q)
-                    best = rank < keep
+                    start, end = np.searchsorted(q, q), np.searchsorted(q, q, "right")
+                    best = (end - start <= k) | (sim >= sim[np.minimum(start + k, end) - 1] - band)
                     out.append((key[q[best]], key[x_at[best]], sim[best]))
             a, b, c = (np.concatenate(z) for z in zip(*out))
             if queries_are_all:  # what one of two finds holds for the other
@@ -346,13 +360,14 @@ def nearest(
     by_query = Window.partitionBy("qkey").orderBy(F.desc("near"), "xkey")
     # two products of the same pair may differ in the last bits
     found = tasks.mapInArrow(compare, "qkey bigint, xkey bigint, near float").groupBy("qkey", "xkey").agg(F.max("near").alias("near"))
-    found = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
+    found = found.withColumn("r", F.row_number().over(by_query))
     own = Window.partitionBy("qkey")
     last, next_ = (F.max(F.when(F.col("r") == r, F.col("near"))).over(own) for r in (k, k + 1))
     found = found.select("qkey", "xkey", F.col("near").cast("double").alias("similarity"), last.alias("last"), next_.alias("next"))
     # what is exact must decide: about the floor, and who is k-th where the k-th and the next are too close to tell
     sim = F.col("similarity")
     tied = (F.col("last") - F.col("next") <= 2 * COARSE) & (sim <= F.col("last") + 2 * COARSE) & (sim >= F.col("next") - 2 * COARSE)
+    found = found.where(F.col("last").isNull() | (sim >= F.col("last") - 2 * COARSE))
     found = persisted(found.select("qkey", "xkey", "similarity", (F.coalesce(tied, F.lit(False)) | (F.abs(sim - F.lit(floor)) <= COARSE)).alias("doubtful")), "p6-found")
     doubtful = F.lit(True) if exact else F.col("doubtful")
     sure = found.where(~doubtful & (F.col("similarity") >= floor)).select("qkey", "xkey", "similarity")

@@ -301,6 +301,28 @@ def test_crowd_of_equal_vectors(spark):
         assert [n for _, n in sorted(found)] == [f for f in first if f != i][:5]
 
 
+def test_near_copies_are_ranked_by_exact_cosine(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1, 64)) + rng.normal(size=(40, 64)) * 3e-3
+    x = np.concatenate([x, vectors(7, 60)]).astype(np.float32)
+    scaled = [(f"s{i:03}", (x[99] * np.float32(2.0 ** (i % 5))).tolist()) for i in range(30)]
+    table = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)] + scaled, "id string, vector array<float>")
+    _, first = neighbours.crowd(table, 5)
+    assert sorted(r.id for r in first.collect()) == [f"s{i:03}" for i in range(6)]
+    ids = [r.id for r in table.collect()]
+    y = np.array([r.vector for r in table.collect()], np.float64)
+    s = np.round(y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :], 13)
+    np.fill_diagonal(s, -2)
+    want = {i: sorted(zip(-s[a], ids))[:5] for a, i in enumerate(ids)}
+    got = defaultdict(list)
+    for r in neighbours.nearest(table, table, wanted=130).orderBy("id", "place").collect():
+        got[r.id].append(r.neighbour)
+    assert {i: n for i, n in got.items() if i < "v"} == {i: [n for _, n in w] for i, w in want.items() if i < "v"}
+    assert {i: n for i, n in got.items() if "v" < i < "v0040"} == {i: [n for _, n in w] for i, w in want.items() if "v" < i < "v0040"}
+    pairs = {tuple(r) for r in neighbours.neighbour_pairs(table, wanted=130).collect()}
+    assert pairs == {tuple(sorted((i, n))) for i, w in want.items() for c, n in w if -c >= 0.9}
+
+
 def test_repeated_rows_count_once(spark):
     x = np.concatenate([vectors(5, 40), vectors(6, 40)])
     rows = [(f"v{i:04}", v.tolist()) for i, v in enumerate(x)]
