@@ -24,8 +24,8 @@ FEWEST, MOST = 8, 2048
 TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
 #: Groups of centroids of a half, at least, whose pairs are the tiles.
 FEWEST_GROUPS = 4
-#: Vectors that a query visits, at least.
-WANTED = 512
+#: Vectors that a query visits, at least; of larger tables WANTED_ROOT times the square root of the number of vectors.
+WANTED, WANTED_ROOT = 2048, 4
 #: Vectors are compared as 16-bit numbers, whose cosines are within COARSE of the exact ones: rounding turns a vector of DIM
 #: numbers by at most sqrt(DIM) * 0.5 / 32767 = 1.22e-4, two of them by 2.45e-4.
 COARSE = 2.5e-4
@@ -47,6 +47,11 @@ def centroids_for(n: int) -> int:
     return int(min(MOST, max(FEWEST, (n / 64) ** 0.5)))
 
 
+def visits_for(n: int) -> int:
+    """Vectors that a query visits of n: more of a larger table, whose grid has more cells for a pair to fall apart in."""
+    return max(WANTED, round(WANTED_ROOT * n**0.5))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centroids by Lloyd's rounds; an emptied centroid moves to the point that is worst served."""
     k = min(k, len(x))
@@ -202,12 +207,12 @@ def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int = WANTED, floor: float = -1.0, fit_rows: int = FIT_ROWS, exact: bool = True,
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = K, wanted: int | None = None, floor: float = -1.0, fit_rows: int = FIT_ROWS, exact: bool = True,
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar other ids of every query id, ties by id.
 
-    vectors, queries: (id, vector) as from usable_vectors; queries None: all vectors. `wanted` vectors are visited per
-    query at least, cell by cell of the multi-index in order of summed distance. With a floor, only neighbours of at
+    vectors, queries: (id, vector) as from usable_vectors; queries None: all vectors. `wanted` vectors (None: visits_for
+    their number) are visited per query at least, cell by cell of the multi-index in order of summed distance. With a floor, only neighbours of at
     least that cosine are returned. Every visited vector within 2 * COARSE of the k-th is kept until exact cosines decide.
     exact: similarities are those of the vectors themselves; else only those near the floor are, and those that may or may
     not be among the k, and the others are within COARSE of them. An id never pairs with itself; repeated rows count once.
@@ -215,6 +220,7 @@ def nearest(
     """
     vectors, queries = once(vectors), None if queries is None else once(queries)
     n = vectors.count()
+    wanted = wanted or visits_for(n)
     books = fit(vectors, n, fit_rows)
     if books is None:
         return vectors.sparkSession.createDataFrame([], "id string, neighbour string, similarity double, place int")
@@ -405,7 +411,7 @@ def _measured(core: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
     return pairs.withColumn("low", F.least("qkey", "xkey")).withColumn("high", F.greatest("qkey", "xkey")).join(sims, ["low", "high"]).select("qkey", "xkey", "similarity")
 
 
-def neighbour_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, wanted: int = WANTED) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, wanted: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b by code point, of cosine at least `least`, where one is among the k nearest of the other."""
     found = nearest(vectors, None, k, wanted, least, exact=False)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

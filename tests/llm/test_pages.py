@@ -242,6 +242,23 @@ def test_walks_agree(seed, k1, k2, wanted, width):
         assert sorted(c[q == i].tolist()) == sorted(a * k2 + b for a, b in neighbours.traverse(d1[i], d2[i], filled, wanted))
 
 
+def test_visits_grow_with_the_table():
+    assert neighbours.visits_for(10) == neighbours.WANTED and neighbours.visits_for(25_000_000) == 20_000
+    rng = np.random.default_rng(9)
+    n, pairs = 40_000, 800
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, 64)))
+    x[:pairs] = unit(x[pairs : 2 * pairs] + 0.45 * unit(rng.normal(size=(pairs, 64))))
+    x = x.astype(np.float32)
+    books = neighbours.Codebooks(x[:: n // 20_000], neighbours.centroids_for(n), 4)
+    (c1, c2), k2 = books.cells(x), len(books.second)
+    filled = np.bincount(c1 * k2 + c2, minlength=len(books.first) * k2).reshape(-1, k2)
+    q, c = neighbours.traverse_all(*books.distances(x[:pairs]), filled, neighbours.visits_for(n))
+    visited = set(zip(q.tolist(), c.tolist()))
+    cell = (c1 * k2 + c2)[pairs : 2 * pairs].tolist()
+    assert sum((i, z) in visited for i, z in enumerate(cell)) >= 0.9 * pairs
+
+
 def vectors(seed, n=1500):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 64))
