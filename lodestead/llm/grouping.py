@@ -18,7 +18,7 @@ def expanded(links: DataFrame, classes: DataFrame, copies: int = COPIES) -> Data
     """(a, b), a < b: pairs of the records of classes(id, rep) that links(a, b) between reps and equal texts stand for.
 
     A class of more than `copies` records isn't written out in all its pairs: its rep speaks for it in links, and each of
-    its other records is paired with the rep. No link between different texts is lost.
+    its other records is paired with the rep. No link between different texts is lost if a class holds copies of one text.
     """
     sizes = classes.groupBy("rep").agg(F.count("*").alias("n"))
     sized = classes.join(sizes, "rep")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestead.llm.grouping import components, consecutive, expanded
@@ -23,6 +23,8 @@ FINGERPRINT = 128
 SLACK = 4.0
 #: Rows of one bucket that one task joins with as many others.
 BUCKET_ROWS = 1024
+#: More different texts than any class has.
+EVERY = 1 << 62
 #: Node pairs of at most so many leaf pairs are compared leaf by leaf.
 LEAF_PAIRS = 4096
 
@@ -205,18 +207,20 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(links, classes) of records with a numeric id and a text.
 
-    classes (id, rep): records of at least min_words words with the same words in the same order share the smallest id.
+    classes (id, rep, same): records of at least min_words words with the same words in the same order share the smallest
+    id, rep; same is the smallest id of those whose text is equal as it stands.
     links (a, b, similarity), a < b: different classes whose sets of `shingle` consecutive words have that Jaccard
     similarity or more, counted exactly for every pair that the trie join finds. Null texts and ids take no part, nor
     do shorter texts. Repeated rows count once.
     """
     usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    usable = usable.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm"))
+    usable = usable.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm"), F.xxhash64(text_col).alias("raw"))
     usable = usable.where(F.size(F.split("norm", " ")) >= max(min_words, shingle))
-    own = usable.select("id", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.length("norm").alias("n")).distinct()
+    own = usable.select("id", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.length("norm").alias("n"), "raw")
+    own = own.groupBy("id", "h1", "h2", "n").agg(F.min("raw").alias("raw"))
     reps = own.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    classes = persisted(own.join(reps, ["h1", "h2", "n"]).select("id", "rep"), "p3-classes")
-    texts = usable.withColumnRenamed("id", "rep").join(classes.where("id = rep").select("rep"), "rep", "left_semi")
+    classes = persisted(own.join(reps, ["h1", "h2", "n"]).select("id", "rep", F.min("id").over(Window.partitionBy("rep", "raw")).alias("same")), "p3-classes")
+    texts = usable.drop("raw").withColumnRenamed("id", "rep").join(classes.where("id = rep").select("rep"), "rep", "left_semi")
     rows = persisted(trie_rows(texts, shingle, tries, path).distinct(), "p3-tries")
     pairs = persisted(candidates(rows, error_budget(similarity)), "p3-candidates")
     involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -246,8 +250,14 @@ def near_duplicates(
 
 
 def record_pairs(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the records behind links, and the copies within classes, as expanded gives them."""
-    return expanded(links.select("a", "b"), classes)
+    """(a, b), a < b: the records behind links and within classes.
+
+    Different texts of a class are linked with each other, and with those of the classes it is linked with, in all pairs;
+    the copies of one text are as expanded gives them.
+    """
+    texts = classes.select(F.col("same").alias("id"), "rep").distinct()
+    between = persisted(expanded(links.select("a", "b"), texts, EVERY), "p3-pairs")
+    return expanded(between, classes.select("id", F.col("same").alias("rep")))
 
 
 def groups(links: DataFrame, classes: DataFrame) -> DataFrame:

@@ -205,6 +205,16 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_duplicates.groups(links, classes).count() == 0
 
 
+def test_many_spellings_of_one_text_are_all_paired(spark):
+    words = [f"w{i}" for i in range(60)]
+    spelt = [(i, " ".join(words) + "!" * i) for i in range(1, 67)] + [(200 + i, " ".join(words) + "?") for i in range(66)]
+    near = [(100, " ".join(words[:-1] + ["other"]))]
+    links, classes = near_duplicates.near_duplicates(spark.createDataFrame(spelt + near, "page_id bigint, text string"))
+    got = {tuple(r) for r in near_duplicates.record_pairs(links, classes).collect()}
+    different = list(range(1, 67)) + [100, 200]
+    assert got == set(combinations(different, 2)) | {(200, 200 + i) for i in range(1, 66)}
+
+
 def test_hot_bucket_is_cut_and_loses_nothing(spark):
     rng = np.random.default_rng(5)
     n = 60
