@@ -97,6 +97,19 @@ def fetch_outcome(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetched_pages").select("fetch_id", site.fetch_outcome().alias("kind")).distinct()
 
 
+_REASON = "case when octet_length(encode(html)) > 2097152 then 'too-large' when status >= 500 then 'error' when html is null and status between 200 and 299 then 'not-html' end"
+
+
+@R.query(f"""select distinct fetch_id, {_REASON} as reason, case when status = 304 or coalesce(not_modified, false) then 'not-modified' when {_REASON} is not null then 'skip'
+when coalesce(status < 200 or status > 299, true) or html is null then 'gone' else 'page' end as kind from fetched_pages""")
+def fetch_outcome_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of fetches whose fetcher said why there is no page: those are skipped, whatever the status, and delete nothing."""
+    status = F.col("status")
+    reason = F.when(~site.within_size("html"), "too-large").when(status >= 500, "error").when(F.col("html").isNull() & status.between(200, 299), "not-html")
+    rows = table(spark, d, "fetched_pages").withColumn("reason", reason)
+    return rows.select("fetch_id", "reason", site.outcome_of(rows).alias("kind")).distinct()
+
+
 @R.query("""with f as (select distinct fetch_id, url, status, not_modified, etag, last_modified, fetched_at from fetched_pages where url is not null)
 select fetch_id, lag(etag) over w as if_none_match, lag(last_modified) over w as if_modified_since from f window w as (partition by url order by fetched_at, fetch_id)""")
 def conditional_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +202,8 @@ filed as (select site, url, ord, priority, questions, case when len(below) > 0 t
 nodes as (select distinct site, list_slice(path, 1, k) as path from (select site, path, unnest(range(0, len(path) + 1)) as k from filed)),
 own as (select site, path, count(*) as n_pages, string_agg(url, ' ' order by priority desc, ord) as urls from filed group by 1, 2),
 tree as (select n.site, array_to_string(n.path, '/') as path, case when len(n.path) > 0 then array_to_string(list_slice(n.path, 1, len(n.path) - 1), '/') end as parent,
-  case when len(n.path) > 0 then {_cap("n.path[-1]", "Site")} else 'Site' end as label, cast(len(n.path) as int) as depth, cast(coalesce(o.n_pages, 0) as int) as n_pages, coalesce(o.urls, '') as urls
+  case when len(n.path) > 0 then {_cap("n.path[-1]", "Site")} else 'Site' end as label, cast(len(n.path) as int) as depth,
+  cast(row_number() over (partition by n.site order by list_transform(n.path, lambda s: struct_pack(l := lower({_cap("s", "Site")}), s := s))) - 1 as int) as walk, cast(coalesce(o.n_pages, 0) as int) as n_pages, coalesce(o.urls, '') as urls
   from nodes n left join own o on o.site = n.site and o.path = n.path)"""
 
 
@@ -198,7 +212,7 @@ def category_tree(spark: SparkSession, d: str) -> DataFrame:
     return topics.category_tree(topic_entries(spark, d)).withColumn("urls", F.array_join("urls", " "))
 
 
-_TOPS = "tops as (select site, path, label, n_pages, row_number() over (partition by site order by n_pages desc, depth > 0, lower(path), path) as place from tree where n_pages > 0)"
+_TOPS = "tops as (select site, path, label, n_pages, row_number() over (partition by site order by n_pages desc, walk) as place from tree where n_pages > 0)"
 
 
 @R.query(f"with {_FILED}, {_TOPS} select site, path, label, n_pages, cast(place as int) as place from tops where place <= 6")

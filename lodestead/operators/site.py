@@ -86,17 +86,27 @@ def within_size(html: Column | str, most: int = MAX_BYTES) -> Column:
     return F.coalesce(F.octet_length(col(html)) <= most, F.lit(True))
 
 
-def fetch_outcome(status: Column | str = "status", html: Column | str = "html", not_modified: Column | str = "not_modified") -> Column:
-    """not-modified, skip (too large), page, or gone (any other status, or no body)."""
+def fetch_outcome(status: Column | str = "status", html: Column | str = "html", not_modified: Column | str = "not_modified", reason: Column | str | None = None) -> Column:
+    """not-modified, skip (too large, or the fetch gives a reason such as a timeout or another type), page, or gone (any other status, or no body).
+
+    A page that was skipped says nothing about what is stored, so only gone may delete it.
+    """
     s = col(status)
+    skipped = F.lit(False) if reason is None else F.coalesce(col(reason) != "", F.lit(False))
     return (
         F.when((s == 304) | F.coalesce(col(not_modified), F.lit(False)), "not-modified")
+        .when(skipped, "skip")
         .when(F.coalesce((s < 200) | (s > 299), F.lit(True)) | col(html).isNull(), "gone")
         .when(~within_size(html), "skip")
         .otherwise("page")
     )
 
 
+def outcome_of(fetched: DataFrame) -> Column:
+    """fetch_outcome of a table of fetched pages, with its `reason` where it has that column."""
+    return fetch_outcome(reason="reason" if "reason" in fetched.columns else None)
+
+
 def parse_sitemap(xml: str, base: str) -> tuple[list[dict], list[str]]:
     """(entries, nested sitemaps) of a sitemap document in any namespace; raises ET.ParseError if it isn't well-formed."""
 

@@ -67,9 +67,10 @@ def filed_pages(entries: DataFrame) -> DataFrame:
 
 
 def category_tree(entries: DataFrame) -> DataFrame:
-    """(site, path, parent, label, depth, n_pages, urls) as flat rows, the root with path ''.
+    """(site, path, parent, label, depth, walk, n_pages, urls) as flat rows, the root with path ''.
 
     Directories above a page are nodes too, with 0 pages of their own. urls: the node's pages by priority, then order.
+    walk: the node's place from 0 where the site is walked from its root, children by label, parents before children.
     """
     pages = filed_pages(entries)
     here = pages.select("site", "path", F.struct((-F.col("priority")).alias("p"), "ord", "url").alias("page"))
@@ -78,18 +79,19 @@ def category_tree(entries: DataFrame) -> DataFrame:
     own = here.groupBy("site", "path").agg(F.sort_array(F.collect_list("page")).alias("pages"))
     joined = nodes.join(own, ["site", "path"], "left")
     last = F.get("path", F.size("path") - 1)
-    return joined.select(
+    walk = F.row_number().over(Window.partitionBy("site").orderBy(F.transform("path", lambda s: F.struct(F.lower(capitalised_words(s, "Site")), s))))
+    return joined.withColumn("walk", walk - 1).select(
         "site", F.array_join("path", "/").alias("path"),
         F.when(F.size("path") > 0, F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), "/")).alias("parent"),
         F.when(F.size("path") > 0, capitalised_words(last, "Site")).otherwise("Site").alias("label"),
-        F.size("path").alias("depth"), F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"),
+        F.size("path").alias("depth"), "walk", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"),
         F.transform(F.coalesce("pages", F.array().cast("array<struct<p:double,ord:bigint,url:string>>")), lambda p: p["url"]).alias("urls"),
     )
 
 
 def top_categories(tree: DataFrame, limit: int = 6) -> DataFrame:
-    """The site's categories with most pages of their own, ties in order of the walk: root first, then by labels, parents before children."""
-    place = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n_pages"), F.asc(F.col("depth") > 0), F.lower("path"), "path"))
+    """The site's categories with most pages of their own, ties in order of the walk: root first, children by label, parents before children."""
+    place = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n_pages"), "walk"))
     return tree.where("n_pages > 0").withColumn("place", place).where(F.col("place") <= limit)
 
 

@@ -53,7 +53,7 @@ class AskResult:
 
 def page_rows(fetched: DataFrame) -> DataFrame:
     """Extracted pages of fetched rows whose outcome is a page and that hold any text."""
-    usable = fetched.where(site.fetch_outcome() == "page")
+    usable = fetched.where(site.outcome_of(fetched) == "page")
     return html.extract_pages(usable, ("url", "fetched_at", "etag", "last_modified")).where(text.trimmed("text") != "")
 
 
@@ -160,7 +160,7 @@ class Engine:
         stored = self.store.table("pages").cache()
         fetched = self.hooks.fetch(stored.select("url", "etag", "last_modified")).cache()
         pages = page_rows(fetched).cache()
-        outcome = stored.join(fetched.select("url", site.fetch_outcome().alias("kind")), "url", "left").join(pages.select("url", F.col("hash").alias("new_hash")), "url", "left")
+        outcome = stored.join(fetched.select("url", site.outcome_of(fetched).alias("kind")), "url", "left").join(pages.select("url", F.col("hash").alias("new_hash")), "url", "left")
         outcome = outcome.select("url", index.revalidation("kind", "hash", "new_hash").alias("outcome")).cache()
         counts = {r.outcome: r.n for r in outcome.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
         if counts.get("changed"):

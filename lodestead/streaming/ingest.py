@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestead.embedding import Embedder, hashed_words
 from lodestead.functions import html
+from lodestead.functions.text import trimmed
 from lodestead.operators import index, site
 from lodestead.plans.engine import chunk_rows
 from lodestead.plans.store import Store
@@ -24,10 +25,10 @@ def merge_batch(store: Store, fetched: DataFrame, embedder: Embedder = hashed_wo
     """
     from pyspark.sql import functions as F
 
-    latest = index.newest(fetched.where("url is not null"), ["url"], ["fetched_at", "fetch_id"]).withColumn("kind", site.fetch_outcome())
+    latest = index.newest(fetched.where("url is not null"), ["url"], ["fetched_at", "fetch_id"]).withColumn("kind", site.outcome_of(fetched))
     known = store.table("pages").select("url", F.col("fetched_at").alias("_at"), F.col("hash").alias("_hash"))
     latest = latest.join(known, "url", "left").where("_at is null or fetched_at > _at").cache()
-    pages = html.extract_pages(latest.where("kind = 'page'"), ("url", "fetched_at", "etag", "last_modified", "_hash")).where("text != ''")
+    pages = html.extract_pages(latest.where("kind = 'page'"), ("url", "fetched_at", "etag", "last_modified", "_hash")).where(trimmed("text") != "")
     changed = pages.where(~F.col("hash").eqNullSafe(F.col("_hash"))).drop("_hash").cache()
     if not changed.isEmpty():
         chunks = chunk_rows(changed, embedder)

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestead.plans.engine import Engine, Hooks, table_fetcher
 from lodestead.plans.store import Store
@@ -84,6 +85,22 @@ def test_revalidate(spark, engine):
     assert engine.revalidate() == {"checked": 2, "changed": 0, "removed": 0}
 
 
+def test_timeouts_leave_what_is_stored(spark, engine):
+    from lodestead.sources.http import http_fetcher
+
+    def times_out(request, timeout):
+        raise TimeoutError
+
+    engine.enrich(10)
+    before = engine.stats()
+    engine.hooks.fetch = http_fetcher(times_out, spacing=0)
+    assert engine.revalidate() == {"checked": 3, "changed": 0, "removed": 0}
+    assert engine.stats() == before
+    late = engine.hooks.fetch(engine.store.table("pages").select("url")).withColumn("fetched_at", F.lit(10**15)).withColumn("fetch_id", F.lit(1))
+    merge_batch(engine.store, late, embedder)
+    assert engine.stats() == before
+
+
 def test_prose_is_checked(engine):
     engine.hooks.generate = lambda system, user: "Forty dollars [1]."
     assert engine.ask("team plan cost dollars").answer == "Forty dollars [1]."

@@ -103,6 +103,21 @@ def test_tree(spark):
     assert [r.label for r in top] == ["Site", "Docs"]
 
 
+def test_walk_goes_by_labels(spark):
+    """docs-x comes after all that is below docs, though its path sorts before docs/y."""
+    rows = [(f"/{p}/a.html", "A", p.split("/"), None, None, None) for p in ("docs-x", "docs/y", "docs", "Blog")]
+    tree = topics.category_tree(entries(spark, *rows))
+    assert [r.path for r in tree.orderBy("walk").collect()] == ["", "Blog", "docs", "docs/y", "docs-x"]
+    assert [r.path for r in topics.top_categories(tree).orderBy("place").collect()] == ["Blog", "docs", "docs/y", "docs-x"]
+
+
+def test_skipped_fetches_are_not_gone(spark):
+    rows = [(1, None, None, "error"), (2, 200, None, "not-html"), (3, 200, None, "too-large"), (4, 404, None, None), (5, 200, "x", None), (6, 200, None, None), (7, 500, None, ""), (8, 304, None, "x")]
+    df = spark.createDataFrame(rows, "i int, status int, html string, reason string").withColumn("not_modified", F.lit(False))
+    got = {r.i: r.kind for r in df.select("i", site.outcome_of(df).alias("kind")).collect()}
+    assert got == {1: "skip", 2: "skip", 3: "skip", 4: "gone", 5: "page", 6: "gone", 7: "gone", 8: "not-modified"}
+
+
 def test_mounted_site(spark):
     e = entries(spark, ("/demo/index.html", "Demo", ["demo"], "Demo", None, None), ("/demo/pricing.html", "Pricing", ["demo"], "Demo", None, None), ("/demo/docs/api.html", "Api", ["demo", "docs"], None, None, None))
     assert {r.path for r in topics.category_tree(e).collect()} == {"", "docs"}
