@@ -66,3 +66,27 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<a>\n</a>")
     one = readers.text_files(spark, str(tmp_path / "a.xml")).first()
     assert one.xml == "<a>\n</a>" and one.url.endswith("a.xml")
+
+
+def test_intermediate_results_go_with_their_scope(spark, tmp_path):
+    from lodestead import tables
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        with tables.scratch(spark):
+            df = tables.persisted(spark.range(3), "x")
+            assert df.count() == 3 and list(tmp_path.rglob("x-*"))
+        assert not list(tmp_path.rglob("x-*"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestead import tables
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        tables.shared_dir(session)
