@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Scopes that are open, innermost last: what is written within goes when they end.
 _scopes: list[list[str]] = []
+#: Folders of local sessions that have no checkpoint folder, by application.
+_temporary: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="lodestead-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _temporary.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lodestead-")
+        _temporary[spark.sparkContext.applicationId] = path
     return path
 
 

@@ -68,18 +68,15 @@ def test_readers(spark, tmp_path):
     assert one.xml == "<a>\n</a>" and one.url.endswith("a.xml")
 
 
-def test_intermediate_results_go_with_their_scope(spark, tmp_path):
+def test_intermediate_results_go_with_their_scope(spark):
+    from pathlib import Path
+
     from lodestead import tables
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        with tables.scratch(spark):
-            df = tables.persisted(spark.range(3), "x")
-            assert df.count() == 3 and list(tmp_path.rglob("x-*"))
-        assert not list(tmp_path.rglob("x-*"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    folder = Path(tables.shared_dir(spark))
+    with tables.scratch(spark):
+        assert tables.persisted(spark.range(3), "scoped").count() == 3 and list(folder.rglob("scoped-*"))
+    assert not list(folder.rglob("scoped-*"))
 
 
 def test_a_cluster_needs_a_shared_folder():
