@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from lodestead.tables import persisted
 
 
-#: Copies of one text that are written out in all pairs.
-COPIES = 64
+#: Copies of one text that are written out in all pairs, unless the caller asks for more.
+COPIES = 256
 
 
-def expanded(links: DataFrame, classes: DataFrame, copies: int = COPIES) -> DataFrame:
+def expanded(links: DataFrame, classes: DataFrame, copies: int | None = COPIES) -> DataFrame:
     """(a, b), a < b: pairs of the records of classes(id, rep) that links(a, b) between reps and equal texts stand for.
 
     A class of more than `copies` records isn't written out in all its pairs: its rep speaks for it in links, and each of
-    its other records is paired with the rep. No link between different texts is lost if a class holds copies of one text.
+    its other records is paired with the rep, which the classes tell. copies None: all pairs, however many. No link
+    between different texts is lost if a class holds copies of one text.
     """
-    sizes = classes.groupBy("rep").agg(F.count("*").alias("n"))
-    sized = classes.join(sizes, "rep")
-    speaks = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "rep")
-    across = links.distinct().join(speaks.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(speaks.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
+    links = links.distinct()
+    if copies is None:
+        speaks, several, crowd = classes.select("id", "rep"), classes.select("id", "rep"), None
+    else:
+        sized = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+        speaks = sized.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("id", "rep")
+        several = sized.where((F.col("n") > 1) & (F.col("n") <= copies)).select("id", "rep")
+        crowd = sized.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select("rep", "id")
+    across = links.join(speaks.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(speaks.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    several = sized.where((F.col("n") > 1) & (F.col("n") <= copies)).select("id", "rep")
     within = several.join(several.select("rep", F.col("id").alias("other")), "rep").where("id < other").select("id", "other")
-    crowd = sized.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select("rep", "id")
-    return across.union(within).union(crowd).distinct()
+    pairs = across.union(within)
+    return (pairs if crowd is None else pairs.union(crowd)).distinct()
 
 
 def consecutive(batches: Iterator[pa.RecordBatch], key: str = "task") -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.grouping import components, consecutive, expanded
+from lodestead.llm.grouping import COPIES, components, consecutive, expanded
 from lodestead.tables import persisted
 
 #: Words of a shingle, similarity of a pair, and words that a record has at least.
@@ -22,11 +22,9 @@ FINGERPRINT = 128
 #: Standard deviations by which the error budget lies above the errors expected at the similarity.
 SLACK = 4.0
 #: Rows of one bucket that one task joins with as many others.
-BUCKET_ROWS = 1024
-#: More different texts than any class has.
-EVERY = 1 << 62
-#: Node pairs of at most so many leaf pairs are compared leaf by leaf.
-LEAF_PAIRS = 4096
+BUCKET_ROWS = 4096
+#: Node pairs that go down a level together.
+FRONTIER = 1 << 17
 
 
 def error_budget(similarity: float, bits: int = FINGERPRINT, slack: float = SLACK) -> int:
@@ -96,7 +94,7 @@ def trie_rows(records: DataFrame, shingle: int, tries: int, path: int) -> DataFr
                 at = np.arange(tries, dtype=np.uint64)
                 for k in range(path):
                     at = _mixed(at + low[k : tries * path : path])
-                bits = low[: FINGERPRINT // 2] >> np.uint64(62)
+                bits = low[: FINGERPRINT // 2] & np.uint64(3)  # the last bits: the first ones of a minimum are 0
                 reps.append(rep)
                 buckets.append(at)
                 f1.append(np.bitwise_or.reduce(bits[:32] << two))
@@ -113,58 +111,61 @@ def trie_rows(records: DataFrame, shingle: int, tries: int, path: int) -> DataFr
     return records.select("rep", "norm").mapInArrow(scan, "bucket bigint, rep bigint, f1 bigint, f2 bigint")
 
 
-class Trie:
-    """A binary trie over sorted 128-bit fingerprints, walked eight levels at a step; a node is a range of leaves."""
+def trie_walk(prints: np.ndarray, ranges: np.ndarray, budget: int, chunk: int = FRONTIER) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(i, j, node pairs, pruned): rows of prints whose fingerprints differ in at most budget bits, from joins of tries.
 
-    def __init__(self, prints: np.ndarray):
-        self.order = np.lexsort((prints[:, 1], prints[:, 0]))
-        self.prints = prints[self.order]
-        self.bytes = self.prints.byteswap().view(np.uint8).reshape(len(prints), 16)
-
-    def children(self, start: int, end: int, step: int) -> list[tuple[int, int, int]]:
-        """(byte of the edge, range) of the nodes under a node."""
-        column = self.bytes[start:end, step]
-        edges = np.concatenate(([0], np.flatnonzero(column[1:] != column[:-1]) + 1, [end - start]))
-        return [(int(column[a]), start + int(a), start + int(b)) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) in left and right whose fingerprints differ in at most budget bits; right None: i < j within left.
-
-    Node pairs of both tries are traversed together with the bits in which they differ so far, and dropped as soon as
-    those exceed the budget.
+    prints (n, 2): fingerprints, sorted within each range; a range of rows that agree in their first bits is a node of a
+    binary trie. ranges (k, 4): roots (a0, a1, b0, b1) of the tries to join; a trie joined with itself gives each pair of
+    its rows once. Node pairs descend bit by bit, all of a level together: to the children that agree with the errors so
+    far, to those that don't with one more, and those beyond the budget are pruned with all below them. Two leaves are
+    joined by edges without branches, so their other bits are counted at once. More than `chunk` node pairs are split,
+    and one part goes down to the leaves before the other.
     """
-    a = Trie(left)
-    b = a if right is None else Trie(right)
-    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    todo = [(0, len(left), 0, len(b.prints), 0, 0)]
+    ones: dict[int, np.ndarray] = {}
+    found_i, found_j, visited, pruned = [np.empty(0, np.int64)], [np.empty(0, np.int64)], len(ranges), 0
+    todo = [(0, ranges.astype(np.int64), np.zeros(len(ranges), np.int32))]
     while todo:
-        a0, a1, b0, b1, step, errors = todo.pop()
-        if step == 16 or (a1 - a0) * (b1 - b0) <= LEAF_PAIRS:
-            differ = np.bitwise_count(a.prints[a0:a1, None, :] ^ b.prints[None, b0:b1, :]).sum(axis=2, dtype=np.int32)
-            i, j = np.nonzero(differ <= budget)
-            i, j = i + a0, j + b0
-            if right is None:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            out_i.append(a.order[i])
-            out_j.append(b.order[j])
-            continue
-        for x, xs, xe in a.children(a0, a1, step):
-            for y, ys, ye in b.children(b0, b1, step):
-                if right is None and ye <= xs:
-                    continue  # met in the other order
-                e = errors + (x ^ y).bit_count()
-                if e <= budget:
-                    todo.append((xs, xe, ys, ye, step + 1, e))
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
-def candidates(rows: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b), a < b: records that meet in a bucket of some trie within the budget.
-
-    A bucket of more than bucket_rows rows is cut into parts, and each pair of parts is a task of its own; a bucket
-    with one row goes nowhere.
+        level, pairs, errors = todo.pop()
+        while len(pairs):
+            leaves = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
+            if leaves.any():
+                i, j = pairs[leaves, 0], pairs[leaves, 2]
+                near = (np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int32) <= budget) & (i != j)
+                found_i.append(i[near])
+                found_j.append(j[near])
+                pruned += int((~near & (i != j)).sum())
+                pairs, errors = pairs[~leaves], errors[~leaves]
+            if level == FINGERPRINT:  # nodes of equal fingerprints
+                for a0, a1, b0, b1 in pairs:
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1), indexing="ij"))
+                    once = i < j if a0 == b0 else np.ones(len(i), bool)
+                    found_i.append(i[once])
+                    found_j.append(j[once])
+                break
+            if len(pairs) > chunk:
+                half = len(pairs) // 2
+                todo.append((level, pairs[half:], errors[half:]))
+                pairs, errors = pairs[:half], errors[:half]
+            if level not in ones:
+                bit = (prints[:, level // 64] >> np.uint64(63 - level % 64)) & np.uint64(1)
+                ones[level] = np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))
+            c, (a0, a1, b0, b1) = ones[level], pairs.T
+            am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
+            twice = a0 != b0  # a node joined with itself meets its two children once
+            children = np.concatenate([np.stack(x, axis=1) for x in ((a0, am, b0, bm), (am, a1, bm, b1), (a0, am, bm, b1), (am[twice], a1[twice], b0[twice], bm[twice]))])
+            after = np.concatenate((errors, errors, errors + 1, errors[twice] + 1))
+            real = (children[:, 0] < children[:, 1]) & (children[:, 2] < children[:, 3])
+            within = real & (after <= budget)
+            visited, pruned = visited + int(within.sum()), pruned + int((real & ~within).sum())
+            pairs, errors, level = children[within], after[within], level + 1
+    return np.concatenate(found_i), np.concatenate(found_j), visited, pruned
+
+
+def trie_tasks(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(task, side, rep, f1, f2), a task's rows together: the joins of tries, one or more a bucket.
+
+    A bucket of more than bucket_rows rows is cut into parts, and each pair of parts is a task of its own (side 1 and 2;
+    0 for a part with itself); a bucket with one row goes nowhere.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     placed = rows.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / bucket_rows).cast("int"))
@@ -175,30 +176,66 @@ def candidates(rows: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS) ->
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("tinyint").alias("side"),
         "rep", "f1", "f2",
     )
+    return placed.repartition("task").sortWithinPartitions("task")
+
+
+def _joined(table: pa.Table, edges: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """trie_walk over the tasks that the edges bound: (a, b) are reps."""
+    side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+    prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
+    task = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    order = np.lexsort((prints[:, 1], prints[:, 0], side, task))
+    middle = edges[:-1] + np.add.reduceat((side == 1).astype(np.int64), edges[:-1])
+    alone = side[edges[:-1]] == 0
+    ranges = np.stack((edges[:-1], np.where(alone, edges[1:], middle), np.where(alone, edges[:-1], middle), edges[1:]), axis=1)
+    ranges = ranges[(ranges[:, 0] < ranges[:, 1]) & (ranges[:, 2] < ranges[:, 3])]
+    i, j, visited, pruned = trie_walk(prints[order], ranges, budget)
+    return rep[order[i]], rep[order[j]], visited, pruned
+
+
+def candidates(rows: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b), a < b: records that meet in some trie within the budget, by joins of the tries below every bucket."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in consecutive(batches):
-            side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
-            prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("f1", "f2")], axis=1)
-            first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for s, e in zip(edges[:-1], edges[1:]):
-                if e - s < 2:
-                    continue
-                if side[s] == 0:
-                    i, j = trie_join(prints[s:e], None, budget)
-                    first.append(rep[s:e][i])
-                    second.append(rep[s:e][j])
-                else:
-                    one, two = (np.flatnonzero(side[s:e] == k) + s for k in (1, 2))
-                    if len(one) and len(two):
-                        i, j = trie_join(prints[one], prints[two], budget)
-                        first.append(rep[one][i])
-                        second.append(rep[two][j])
-            x, y = np.concatenate(first), np.concatenate(second)
+            x, y, _, _ = _joined(table, edges, budget)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    tasks = placed.repartition("task").sortWithinPartitions("task")
-    return tasks.mapInArrow(join, "a bigint, b bigint").distinct()
+    return trie_tasks(rows, bucket_rows).mapInArrow(join, "a bigint, b bigint").distinct()
+
+
+def walk_counts(rows: DataFrame, budget: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(n_rows, tasks, node_pairs, pruned, pairs): what the walks of tries of so many rows visit, prune and find."""
+    names = ("n_rows", "node_pairs", "pruned", "pairs")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in consecutive(batches):
+            got = []
+            for s, e in zip(edges[:-1], edges[1:]):
+                x, _, visited, pruned = _joined(table.slice(s, e - s), np.array([0, e - s]), budget)
+                got.append((int(e - s), visited, pruned, len(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=list(names))
+
+    counted = trie_tasks(rows, bucket_rows).mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
+    return counted.groupBy("n_rows").agg(F.count("*").alias("tasks"), *(F.sum(c).alias(c) for c in names[1:]))
+
+
+def forest(
+    records: DataFrame, id_col: str = "page_id", text_col: str = "text", shingle: int = SHINGLE, min_words: int = MIN_WORDS, tries: int = TRIES, path: int = PATH,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows as in trie_rows, classes as in near_duplicates, texts (rep, norm)) of records."""
+    usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    usable = usable.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm"), F.xxhash64(text_col).alias("raw"))
+    usable = usable.where(F.size(F.split("norm", " ")) >= max(min_words, shingle))
+    words = ["h1", "h2", "n"]
+    own = usable.select("id", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.length("norm").alias("n"), "raw")
+    own = own.groupBy("id", *words).agg(F.min("raw").alias("raw"))
+    # both minima are aggregated before they are shuffled; a class with many members is a skewed join, which is split
+    same = own.groupBy(*words, "raw").agg(F.min("id").alias("same"))
+    reps = same.groupBy(*words).agg(F.min("same").alias("rep"))
+    classes = persisted(own.join(same.join(reps, words), [*words, "raw"]).select("id", "rep", "same"), "p3-classes")
+    texts = usable.drop("raw").withColumnRenamed("id", "rep").join(classes.where("id = rep").select("rep"), "rep", "left_semi")
+    return persisted(trie_rows(texts, shingle, tries, path).distinct(), "p3-tries"), classes, texts
 
 
 def near_duplicates(
@@ -213,15 +250,7 @@ def near_duplicates(
     similarity or more, counted exactly for every pair that the trie join finds. Null texts and ids take no part, nor
     do shorter texts. Repeated rows count once.
     """
-    usable = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    usable = usable.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("norm"), F.xxhash64(text_col).alias("raw"))
-    usable = usable.where(F.size(F.split("norm", " ")) >= max(min_words, shingle))
-    own = usable.select("id", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), F.length("norm").alias("n"), "raw")
-    own = own.groupBy("id", "h1", "h2", "n").agg(F.min("raw").alias("raw"))
-    reps = own.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    classes = persisted(own.join(reps, ["h1", "h2", "n"]).select("id", "rep", F.min("id").over(Window.partitionBy("rep", "raw")).alias("same")), "p3-classes")
-    texts = usable.drop("raw").withColumnRenamed("id", "rep").join(classes.where("id = rep").select("rep"), "rep", "left_semi")
-    rows = persisted(trie_rows(texts, shingle, tries, path).distinct(), "p3-tries")
+    rows, classes, texts = forest(records, id_col, text_col, shingle, min_words, tries, path)
     pairs = persisted(candidates(rows, error_budget(similarity)), "p3-candidates")
     involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     involved = persisted(texts.join(involved, "rep", "left_semi").dropDuplicates(["rep"]), "p3-texts")
@@ -249,15 +278,16 @@ def near_duplicates(
     return persisted(links, "p3-links"), classes
 
 
-def record_pairs(links: DataFrame, classes: DataFrame) -> DataFrame:
+def record_pairs(links: DataFrame, classes: DataFrame, copies: int | None = COPIES) -> DataFrame:
     """(a, b), a < b: the records behind links and within classes.
 
     Different texts of a class are linked with each other, and with those of the classes it is linked with, in all pairs;
-    the copies of one text are as expanded gives them.
+    the copies of one text as expanded gives them: all pairs of up to `copies` of them (None: of any number), the first
+    with each other one beyond. Which record stands for which is in the classes.
     """
     texts = classes.select(F.col("same").alias("id"), "rep").distinct()
-    between = persisted(expanded(links.select("a", "b"), texts, EVERY), "p3-pairs")
-    return expanded(between, classes.select("id", F.col("same").alias("rep")))
+    between = persisted(expanded(links.select("a", "b"), texts, None), "p3-pairs")
+    return expanded(between, classes.select("id", F.col("same").alias("rep")), copies)
 
 
 def groups(links: DataFrame, classes: DataFrame) -> DataFrame:

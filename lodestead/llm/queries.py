@@ -49,6 +49,12 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(links, classes).withColumnRenamed("id", "page_id")
 
 
+def p3_walk(spark: SparkSession, d: str) -> DataFrame:
+    """What the joins of tries visit, prune and find, by the rows of a trie."""
+    rows, _, _ = near_duplicates.forest(table(spark, d, "extracted_pages").select("page_id", "text"))
+    return near_duplicates.walk_counts(rows, near_duplicates.error_budget(near_duplicates.SIMILARITY))
+
+
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "extracted_pages").select(*PAGE_COLUMNS, "text")
     return residue.judge_pages(pages, table(spark, d, "fetched_pages").select("fetch_id", "url", "html"))
@@ -115,7 +121,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_content, p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pages, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
+    for f in (p1_found, p1_content, p2_found, p2_clean, p2_sequences, p3_found, p3_groups, p3_walk, p4_found, p4_pieces, p5_found, p5_pages, p6_found, p6_neighbours, p7_pack, p8_found, p8_leaks, p9_found, p9_spans, p9_shared)
 }
 
 #: White space that str.strip removes, for SQL's trim.

@@ -146,15 +146,44 @@ def test_trie_join(seed, n, m, budget):
     centres = rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64)
     noise = lambda k: (rng.integers(0, 1 << 63, (k, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (k, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (k, 2), dtype=np.uint64))
     a, b = centres[rng.integers(0, 4, n)] ^ noise(n), centres[rng.integers(0, 4, m)] ^ noise(m)
-    leaf, near_duplicates.LEAF_PAIRS = near_duplicates.LEAF_PAIRS, 16
-    try:
-        i, j = near_duplicates.trie_join(a, b, budget)
-        assert set(zip(i.tolist(), j.tolist())) == brute_hamming(a, b, budget) and len(set(zip(i.tolist(), j.tolist()))) == len(i)
-        i, j = near_duplicates.trie_join(a, None, budget)
-        got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
-        assert got == {(x, y) for x, y in brute_hamming(a, a, budget) if x < y} and len(got) == len(i)
-    finally:
-        near_duplicates.LEAF_PAIRS = leaf
+    rows = np.concatenate((a, b))
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.lexsort((rows[:, 1], rows[:, 0], side))
+    for ranges, want in (
+        ([[0, n, n, n + m]], {(x, n + y) for x, y in brute_hamming(a, b, budget)}),
+        ([[0, n, 0, n], [n, n + m, n, n + m]], {(x, y) for x, y in brute_hamming(a, a, budget) if x < y} | {(n + x, n + y) for x, y in brute_hamming(b, b, budget) if x < y}),
+    ):
+        for chunk in (3, 1 << 17):
+            i, j, _, _ = near_duplicates.trie_walk(rows[order], np.array(ranges), budget, chunk)
+            got = {tuple(sorted(p)) for p in zip(order[i].tolist(), order[j].tolist())}
+            assert got == want and len(got) == len(i)
+
+
+def test_small_tries_are_walked_and_pruned(spark):
+    """Buckets of 2 to 64 rows descend node by node: far fewer node pairs than pairs of rows times levels, and pruned ones among them."""
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 10, 64):
+        base = rng.integers(0, 1 << 63, (2, 2)).astype(np.uint64)
+        prints = base[np.arange(n) % 2] ^ (np.uint64(1) << rng.integers(0, 30, (n, 2)).astype(np.uint64))
+        prints = prints[np.lexsort((prints[:, 1], prints[:, 0]))]
+        i, _, visited, pruned = near_duplicates.trie_walk(prints, np.array([[0, n, 0, n]]), 8)
+        assert visited > 1 and len(i) == len({(x, y) for x, y in brute_hamming(prints, prints, 8) if x < y})
+        if n >= 10:
+            assert pruned > 0 and visited < n * (n - 1) / 2 * near_duplicates.FINGERPRINT / 4
+    rows = [(b, 100 * b + k, int(f), int(g)) for b, n in ((1, 2), (2, 10), (3, 1)) for k, (f, g) in enumerate(rng.integers(0, 1 << 62, (n, 2)))]
+    counts = {r.n_rows: r for r in near_duplicates.walk_counts(spark.createDataFrame(rows, "bucket bigint, rep bigint, f1 bigint, f2 bigint"), 20).collect()}
+    assert set(counts) == {2, 10} and all(r.tasks == 1 and r.node_pairs > 1 and r.pruned > 0 for r in counts.values())
+
+
+def test_fingerprints_tell_texts_apart(spark):
+    """Unrelated texts differ in about half of the bits, texts of similarity s in about half of 1 - s of them."""
+    words = [f"w{i}" for i in range(3000)]
+    near = words[:300] + ["x"] + words[301:600]
+    texts = [(0, " ".join(words[:600])), (1, " ".join(near)), (2, " ".join(words[1000:1600]))]
+    rows = near_duplicates.trie_rows(spark.createDataFrame(texts, "rep bigint, norm string"), 3, 20, 3).select("rep", "f1", "f2").distinct().orderBy("rep").collect()
+    a, b, c = ([r.f1 & (1 << 64) - 1, r.f2 & (1 << 64) - 1] for r in rows)
+    differ = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
+    assert differ(a, b) < 10 < 45 < differ(a, c) < 83
 
 
 def records(seed=4, n=120):
@@ -210,9 +239,11 @@ def test_many_spellings_of_one_text_are_all_paired(spark):
     spelt = [(i, " ".join(words) + "!" * i) for i in range(1, 67)] + [(200 + i, " ".join(words) + "?") for i in range(66)]
     near = [(100, " ".join(words[:-1] + ["other"]))]
     links, classes = near_duplicates.near_duplicates(spark.createDataFrame(spelt + near, "page_id bigint, text string"))
-    got = {tuple(r) for r in near_duplicates.record_pairs(links, classes).collect()}
     different = list(range(1, 67)) + [100, 200]
+    got = {tuple(r) for r in near_duplicates.record_pairs(links, classes, 64).collect()}
     assert got == set(combinations(different, 2)) | {(200, 200 + i) for i in range(1, 66)}
+    got = {tuple(r) for r in near_duplicates.record_pairs(links, classes).collect()}
+    assert got == set(combinations([*range(1, 67), 100, *range(200, 266)], 2)) == {tuple(r) for r in near_duplicates.record_pairs(links, classes, None).collect()}
 
 
 def test_hot_bucket_is_cut_and_loses_nothing(spark):
