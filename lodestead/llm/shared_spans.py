@@ -5,15 +5,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.llm.grouping import expanded
+from lodestead.llm.filters import bloom, passing
+from lodestead.llm.grouping import COPIES, expanded
 from lodestead.tables import persisted
 
-#: Characters of a shared span, and of the block whose hash anchors it.
+#: Characters of a shared span.
 MIN_SPAN = 300
-BLOCK = 200
 #: Occurrences of one anchor that are joined with the others at a time.
 ANCHOR_ROWS = 2000
 #: An odd multiplier modulo 2^64 and its inverse, for the rolling hash.
@@ -69,12 +69,8 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def anchor_rows(texts: DataFrame, min_span: int, block: int) -> DataFrame:
-    """(key, rep, pos): anchors of every text; equal spans of min_span characters have an anchor in common.
-
-    Every rolling window of `block` characters is hashed; of each min_span - block + 1 successive windows the smallest
-    hash is kept. What is kept depends on the characters of the span alone.
-    """
+def hashed_rows(texts: DataFrame, least: int, block: int, chosen) -> DataFrame:
+    """(key, rep, pos): the windows of `block` characters whose starts chosen(hashes) names, of texts of at least `least`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, down = _powers(_BASE, 1), _powers(_INVERSE, 1)
@@ -82,12 +78,12 @@ def anchor_rows(texts: DataFrame, min_span: int, block: int) -> DataFrame:
             keys, reps, places = [], [], []
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                if len(codes) < min_span:
+                if len(codes) < least:
                     continue
                 if len(up) < len(codes):
                     up, down = _powers(_BASE, 2 * len(codes)), _powers(_INVERSE, 2 * len(codes))
                 hashes = window_hashes(codes, block, up, down)
-                at = anchors(hashes, min_span - block + 1)
+                at = chosen(hashes)
                 keys.append(hashes[at].view(np.int64))
                 reps.append(np.full(len(at), rep, np.int64))
                 places.append(at.astype(np.int32))
@@ -97,6 +93,27 @@ def anchor_rows(texts: DataFrame, min_span: int, block: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(scan, "key bigint, rep bigint, pos int")
 
 
+def anchor_rows(texts: DataFrame, min_span: int, block: int, index: str = "blocks") -> DataFrame:
+    """(key, rep, pos, reference): windows of `block` characters by which equal spans of min_span characters meet.
+
+    index "blocks": the reference blocks start at multiples of `block`, of which a span of 2 * block - 1 characters holds
+    one wherever it starts. Every other rolling window probes them, and goes on if a Bloom filter of all reference
+    blocks lets it pass, so that about as many windows as blocks are shuffled.
+    index "content": of each min_span - block + 1 successive windows the one of the smallest hash is a reference on both
+    sides, whatever its place; exact too, and without a filter, for collections whose blocks are too many for one.
+    """
+    if index == "content":
+        return hashed_rows(texts, min_span, block, lambda h: anchors(h, min_span - block + 1)).withColumn("reference", F.lit(True))
+    blocks = persisted(hashed_rows(texts, min_span, block, lambda h: np.arange(0, len(h), block)), "p9-blocks")
+    words = blocks.sparkSession.sparkContext.broadcast(bloom(blocks.select("key")))
+
+    def probes(hashes: np.ndarray) -> np.ndarray:
+        at = passing(words.value, hashes)
+        return at[at % block != 0]
+
+    return blocks.withColumn("reference", F.lit(True)).unionByName(hashed_rows(texts, min_span, block, probes).withColumn("reference", F.lit(False)))
+
+
 def text_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, rep): the smallest doc_id with the same text, so that copies are compared once."""
     own = documents.where("text is not null and doc_id is not null").select(
@@ -106,32 +123,41 @@ def text_classes(documents: DataFrame) -> DataFrame:
     return own.join(reps, ["h1", "h2", "n"]).select("doc_id", "rep")
 
 
-def shared_spans(documents: DataFrame, min_span: int = MIN_SPAN, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def shared_spans(documents: DataFrame, min_span: int = MIN_SPAN, block: int | None = None, index: str = "blocks") -> tuple[DataFrame, DataFrame]:
     """(spans, classes) of documents(doc_id, text).
 
     spans (rep_a, rep_b, start_a, start_b, length), rep_a < rep_b: maximal exact repeats of at least min_span
     characters between different texts. classes (doc_id, rep): documents with the same text share a rep; copies are not
-    expanded into pairs. Null and empty texts have no spans. A key that many texts share is joined with its occurrences
-    in salted parts; all its pairs are extended, none is dropped.
+    expanded into pairs. Null and empty texts have no spans. block None: half of min_span, the longest of which every span
+    holds one; index as in anchor_rows. A key that many texts share is joined with its occurrences in salted parts; all
+    its pairs are extended, none is dropped. A stretch of one repeated character is shared on each of its diagonals.
     """
-    if not 0 < block <= min_span:
-        raise ValueError("a block must be at most a span long")
+    block = block or (min_span + 1) // 2
+    if not 0 < block <= (min_span if index == "content" else (min_span + 1) // 2):
+        raise ValueError("a span must hold a block wherever it starts")
     classes = persisted(text_classes(documents), "p9-classes")
     reps = classes.where("doc_id = rep").select("rep")
     # a doc_id that occurs in repeated rows gives the same text again
     texts = documents.where(F.char_length("text") >= min_span).select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    found = persisted(anchor_rows(texts.join(reps, "rep", "left_semi"), min_span, block).distinct(), "p9-anchors")
-    several = found.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high")
-    hits = persisted(found.join(several.select("key", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("parts")), "key"), "p9-hits")
-    # the occurrences of a frequent anchor are cut into parts, each of which meets all of them in a task of its own
-    left = hits.select("key", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.col("rep").alias("rep_a"), F.col("pos").alias("pos_a"))
-    other = hits.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("rep_b"), F.col("pos").alias("pos_b"))
-    pairs = left.join(other, ["key", "part"]).where("rep_a < rep_b")
-    # one row per diagonal and stretch of it: anchors of one maximal repeat lie on one diagonal
+    texts = persisted(texts.join(reps, "rep", "left_semi").dropDuplicates(["rep"]), "p9-reps")
+    found = persisted(anchor_rows(texts, min_span, block, index), "p9-anchors")
+    several = found.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"), F.max("reference").alias("indexed"))
+    several = several.where("low < high and indexed").select("key", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("parts"))
+    hits = persisted(found.join(several, "key"), "p9-hits")
+    # the occurrences of a frequent block are cut into parts, each of which meets the references in a task of its own
+    left = hits.select("key", F.pmod(F.xxhash64("rep", "pos"), "parts").cast("int").alias("part"), "rep", "pos", "reference")
+    other = hits.where("reference").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("ref"), F.col("pos").alias("ref_pos"))
+    pairs = left.join(other, ["key", "part"]).where("rep != ref and (not reference or rep < ref)")
+    first = F.col("rep") < F.col("ref")
+    one, two = F.struct("rep", "pos"), F.struct(F.col("ref").alias("rep"), F.col("ref_pos").alias("pos"))
+    pairs = pairs.select(F.when(first, one).otherwise(two).alias("a"), F.when(first, two).otherwise(one).alias("b"))
+    pairs = pairs.select(F.col("a.rep").alias("rep_a"), F.col("a.pos").alias("pos_a"), F.col("b.rep").alias("rep_b"), F.col("b.pos").alias("pos_b"))
+    # anchors of one maximal repeat lie on one diagonal; a pair of texts is one row, so that it meets its texts once
     pairs = pairs.groupBy("rep_a", "rep_b", (F.col("pos_b") - F.col("pos_a")).alias("shift")).agg(F.array_sort(F.collect_set("pos_a")).alias("seeds"))
+    pairs = pairs.groupBy("rep_a", "rep_b").agg(F.collect_list(F.struct("shift", "seeds")).alias("diagonals"))
     pairs = persisted(pairs, "p9-pairs")
     involved = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select(F.col("rep_b").alias("rep"))).distinct()
-    involved = persisted(texts.join(involved, "rep", "left_semi").dropDuplicates(["rep"]), "p9-texts")
+    involved = persisted(texts.join(involved, "rep", "left_semi"), "p9-texts")
     joined = pairs.join(involved.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
     joined = joined.join(involved.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
 
@@ -141,26 +167,32 @@ def shared_spans(documents: DataFrame, min_span: int = MIN_SPAN, block: int = BL
             for r in pdf.itertuples():
                 a = np.frombuffer(r.text_a.encode("utf-32-le", "surrogatepass"), np.uint32)
                 b = np.frombuffer(r.text_b.encode("utf-32-le", "surrogatepass"), np.uint32)
-                low, high = max(0, -r.shift), min(len(a), len(b) - r.shift)
-                breaks = np.flatnonzero(a[low:high] != b[low + r.shift : high + r.shift]) + low
-                edges = np.concatenate(([low - 1], breaks, [high]))
-                for k in np.unique(np.searchsorted(edges, r.seeds, "right")):
-                    start, end = int(edges[k - 1]) + 1, int(edges[k])
-                    if end - start >= min_span:
-                        rows.append((r.rep_a, r.rep_b, start, start + r.shift, end - start))
+                for d in r.diagonals:
+                    shift, seeds = int(d["shift"]), d["seeds"]
+                    low, high = max(0, -shift), min(len(a), len(b) - shift)
+                    breaks = np.flatnonzero(a[low:high] != b[low + shift : high + shift]) + low
+                    edges = np.concatenate(([low - 1], breaks, [high]))
+                    for k in np.unique(np.searchsorted(edges, seeds, "right")):
+                        start, end = int(edges[k - 1]) + 1, int(edges[k])
+                        if end - start >= min_span:
+                            rows.append((r.rep_a, r.rep_b, start, start + shift, end - start))
             yield pd.DataFrame(rows, columns=["rep_a", "rep_b", "start_a", "start_b", "length"])
 
-    spans = joined.select("rep_a", "rep_b", "shift", "seeds", "text_a", "text_b").mapInPandas(
+    spans = joined.select("rep_a", "rep_b", "diagonals", "text_a", "text_b").mapInPandas(
         extend, "rep_a bigint, rep_b bigint, start_a int, start_b int, length int"
     )
     return persisted(spans, "p9-spans"), classes
 
 
-def document_pairs(spans: DataFrame, classes: DataFrame, documents: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: the documents behind spans, with copies of a text of min_span characters or more, as expanded gives them."""
+def document_pairs(spans: DataFrame, classes: DataFrame, documents: DataFrame, min_span: int = MIN_SPAN, copies: int | None = COPIES) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: the documents behind spans, with copies of a text of min_span characters or more.
+
+    Up to `copies` of a text are written out in all pairs (None: any number of them); more as expanded says, and the
+    classes tell which document stands for which.
+    """
     long = documents.where(F.char_length("text") >= min_span).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     member = classes.join(long, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "rep")
-    return expanded(spans.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), member).toDF("doc_a", "doc_b")
+    return expanded(spans.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), member, copies).toDF("doc_a", "doc_b")
 
 
 def shared_share(spans: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -173,8 +205,6 @@ def shared_share(spans: DataFrame, classes: DataFrame, documents: DataFrame) ->
         spans.select("rep_b", "start_b", F.col("start_b") + F.col("length"))
     ).distinct()
     # length of a union of intervals: what reaches beyond the greatest end so far
-    from pyspark.sql import Window
-
     before = Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     covered = sides.withColumn("reach", F.coalesce(F.max("e").over(before), F.lit(0)))
     covered = covered.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reach"))).alias("covered"), F.count("*").alias("n_spans"))

@@ -241,7 +241,8 @@ def maximal_repeats(a, b, least):
     return out
 
 
-def test_shared_spans(spark):
+@pytest.mark.parametrize("index, block", [("blocks", None), ("blocks", 13), ("content", 25)])
+def test_shared_spans(spark, index, block):
     r = random.Random(8)
     text = lambda n: "".join(r.choice("abcdefgh é\n😀") for _ in range(n))
     stock = [text(r.randint(70, 120)) for _ in range(8)]
@@ -255,7 +256,7 @@ def test_shared_spans(spark):
         docs.append((d, t))
     docs += [(70, docs[3][1]), (71, docs[3][1]), (72, ""), (73, None), (74, "ab" * 60), (75, "ab" * 50 + "x"), (None, docs[3][1]), docs[3]]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    spans, classes = shared_spans.shared_spans(df, 40, 25)
+    spans, classes = shared_spans.shared_spans(df, 40, block, index)
     pairs = rows(shared_spans.document_pairs(spans, classes, df, 40))
     unique = {d: t for d, t in docs if d is not None and t is not None}
     want = [(a, b) for a, b in combinations(sorted(unique), 2) if (len(unique[a]) >= 40 and unique[a] == unique[b]) or maximal_repeats(unique[a], unique[b], 40)]
@@ -266,7 +267,7 @@ def test_shared_spans(spark):
     for x in spans.collect():
         got[x.rep_a, x.rep_b].add((x.start_a, x.start_b, x.length))
     for (a, b), found in got.items():
-        if {a, b} != {74, 75}:  # there every diagonal is a repeat of its own; one on each side of the anchors is enough
+        if index == "blocks" or {a, b} != {74, 75}:  # there every diagonal is a repeat of its own; one on each side of the anchors is enough
             assert found == maximal_repeats(unique[a], unique[b], 40)
         assert found <= maximal_repeats(unique[a], unique[b], 40)
     share = {x.doc_id: x for x in shared_spans.shared_share(spans, classes, df).collect()}
@@ -277,7 +278,32 @@ def test_shared_spans(spark):
             for i, j, n in found:
                 cover |= set(range(i, i + n)) if a == reps[d] else set(range(j, j + n)) if b == reps[d] else set()
         assert share[d].shared_chars == (len(unique[d]) if share[d].copies > 1 else len(cover))
-    assert shared_spans.shared_spans(df.limit(0))[0].count() == 0
+    assert shared_spans.shared_spans(df.limit(0), index=index)[0].count() == 0
+    with pytest.raises(ValueError, match="block"):
+        shared_spans.shared_spans(df, 40, 41, index)
+
+
+def test_all_pairs_of_a_hundred_copies(spark):
+    """Of one text, and of a text that shares a stretch with it."""
+    stretch = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(130))
+    docs = [(i, stretch) for i in range(100)] + [(200, "x" * 50 + stretch + "y")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    spans, classes = shared_spans.shared_spans(df)
+    every = set(combinations([*range(100), 200], 2))
+    assert set(rows(shared_spans.document_pairs(spans, classes, df))) == every == set(rows(shared_spans.document_pairs(spans, classes, df, copies=None)))
+    assert set(rows(shared_spans.document_pairs(spans, classes, df, copies=50))) == {(0, i) for i in range(1, 100)} | {(0, 200)}
+
+
+def test_filter_passes_all_that_is_in_it(spark):
+    from lodestead.llm import filters
+
+    keys = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 60_000)
+    words = filters.bloom(spark.createDataFrame([(int(k),) for k in keys[:20_000]], "key bigint"))
+    found = filters.passing(words, keys.view(np.uint64))
+    assert set(range(20_000)) <= set(found.tolist()) and len(found) < 20_000 + 800
+    full = filters.bloom(spark.createDataFrame([(int(k),) for k in keys[:5000]], "key bigint"), most_words=64)
+    assert len(full) == 64 and len(filters.passing(full, keys[:5000].view(np.uint64))) == 5000
+    assert len(filters.passing(filters.bloom(spark.createDataFrame([], "key bigint")), keys.view(np.uint64))) == 0
 
 
 @settings(max_examples=60, deadline=None)
