@@ -49,8 +49,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """Distinct 64-bit hashes of the sequences of n consecutive words."""
+def gram_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of the sequences of n consecutive words, by their places. known keeps the hashes of words."""
     for w in set(words).difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
     codes = np.array([known[w] for w in words], np.uint64)
@@ -59,7 +59,12 @@ def shingle_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarra
     total = np.zeros(len(codes) - n + 1, np.uint64)
     for k in range(n):
         total = _mixed(total + codes[k : len(codes) - n + 1 + k] + np.uint64(k + 1))
-    return np.unique(total)
+    return total
+
+
+def shingle_hashes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """Distinct 64-bit hashes of the sequences of n consecutive words."""
+    return np.unique(gram_hashes(words, n, known))
 
 
 def signature(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
