@@ -34,8 +34,7 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_sequences(spark: SparkSession, d: str) -> DataFrame:
-    sequences = repeated_lines.page_sequences(table(spark, d, "extracted_pages").select("page_id", "url", "text"))
-    found, _ = repeated_lines.prefix_span(sequences, repeated_lines.frequent_lines(sequences))
+    found, _ = repeated_lines.mined(table(spark, d, "extracted_pages").select("page_id", "url", "text"))
     return found.select("site", F.concat_ws(",", "pattern").alias("pattern"), "length", "support")
 
 

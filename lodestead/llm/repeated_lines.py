@@ -130,15 +130,20 @@ def prefix_span(
     return patterns, lines.distinct()
 
 
+def mined(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """prefix_span of pages(page_id, url, text)."""
+    sequences = persisted(page_sequences(pages), "p2-sequences")
+    frequent = persisted(frequent_lines(sequences, min_pages, min_share), "p2-frequent")
+    return prefix_span(sequences, frequent, min_pages, min_share, max_length)
+
+
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
     """(page_id, line_no): the lines of every occurrence of a frequent sequence, single lines included.
 
     Lines come from the longest sequences mined there (max_length None: of any length); all lines of a frequent sequence
     are frequent themselves, so a shorter limit changes which sequence covers a line and no line.
     """
-    sequences = persisted(page_sequences(pages), "p2-sequences")
-    frequent = persisted(frequent_lines(sequences, min_pages, min_share), "p2-frequent")
-    return prefix_span(sequences, frequent, min_pages, min_share, max_length)[1]
+    return mined(pages, min_pages, min_share, max_length)[1]
 
 
 def without_repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
