@@ -19,15 +19,18 @@ WEIGHTS = 1 << 18
 #: Class names that name the role of a box: `<role>-box`; this role holds the page's own content, all others furniture.
 ROLE_BOX = re.compile(r"^([a-z]+)-box$")
 CONTENT_ROLE = "content"
-#: Scores that a run must exceed to leave (inside) or to join (outside) the content region.
-MARGIN = 0.0
+#: What an edge of a content region costs: between two containers, and within one, whose tags hold its blocks together.
+EDGE, INNER_EDGE = 1.0, 9.0
+#: The most that one block adds to a region's score, or takes from it.
+MOST_SCORE = 6.0
+#: Blocks of fewer characters are kept with their score, as many as REPEATED of them, for the pages on which they come again.
+SHORT, REPEATED = 120, 50_000
 
 TOKEN = re.compile(r"<!--.*?-->|<(script|style|title)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|role)\s*=\s*["']([^"']*)["']""", re.I)
 BLOCK_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre figcaption dd dt td th".split())
 CONTAINERS = frozenset("nav aside footer header main article div section ul ol table form dialog".split())
 WORD = re.compile(r"[^\W\d_]+|\d[\d.,:/\-]*")
-SHAPED = 120
 #: What a shape writes for a date, a number and a word; marks around a text don't count.
 SHAPES = (
     (re.compile(r"^[^\w©]+|(?:\s*(?:\.{3}|[→›»!…]))+$"), ""),
@@ -50,12 +53,12 @@ def parse(source: str) -> list[tuple[str, str, str, int]]:
     """(text, tags, role, box) of the blocks of an html document in order.
 
     tags: the block's tag, whether all of it is a link, and the containers around it with their classes. role: the role
-    that the innermost labelled box names, or ''. box: number of the innermost container, of which a table cell is one
-    if it holds blocks. Tags that are never closed end with their container.
+    that the innermost labelled box names, or ''; such names are no tags. box: number of the innermost container, of which
+    a table cell is one if it holds blocks. Tags that are never closed end with their container.
     """
     out: list[tuple[str, str, str, int]] = []
     stack: list[tuple[str, str, str, int]] = []  # tag, mark, role, number
-    name, text, linked, in_link, mark = "", [], 0, False, ""
+    name, text, linked, in_link, mark, around = "", [], 0, False, "", ""
     last = boxes = cell = 0
 
     def close() -> None:
@@ -63,8 +66,8 @@ def parse(source: str) -> list[tuple[str, str, str, int]]:
         if name:
             joined = plain(entities.unescape("".join(text)))
             if joined:
-                tags = [name, "a" if linked and 2 * linked >= len(joined) else "-", *(m for _, m, _, _ in stack[-4:])]
-                out.append((joined, " ".join(tags) + mark, next((r for _, _, r, _ in reversed(stack) if r), ""), cell or (stack[-1][3] if stack else 0)))
+                link = "a" if linked and 2 * linked >= len(joined) else "-"
+                out.append((joined, f"{name} {link}{around}{mark}", next((r for _, _, r, _ in reversed(stack) if r), ""), cell or (stack[-1][3] if stack else 0)))
         name, text, linked = "", [], 0
 
     for m in TOKEN.finditer(source):
@@ -104,7 +107,9 @@ def parse(source: str) -> list[tuple[str, str, str, int]]:
                 attributes = dict((k.lower(), v) for k, v in ATTRIBUTE.findall(m[4])) if "=" in m[4] else {}
                 classes = attributes.get("class", "").lower().split()
                 role = next((b[1] for c in classes if (b := ROLE_BOX.match(c))), "")
-                stack.append((tag, ".".join([tag, *classes, *([attributes["role"]] if "role" in attributes else [])]), role, boxes))
+                shown = [c for c in classes if not ROLE_BOX.match(c)]
+                stack.append((tag, ".".join([tag, *shown, *([attributes["role"]] if "role" in attributes else [])]), role, boxes))
+            around = "".join(f" {m}" for m in dict.fromkeys(m for _, m, _, _ in stack))
     if name and last < len(source):
         text.append(source[last:])
     close()
@@ -117,13 +122,11 @@ def masked_words(text: str, site: str) -> list[str]:
 
 
 def shape(text: str) -> str:
-    """Outline of a text without its words; texts of more than SHAPED characters share one."""
-    if len(text) > SHAPED:
-        return "long"
+    """Outline of a text without its words."""
     text = plain(text).lower()
     for pattern, sign in SHAPES:
         text = pattern.sub(sign, text)
-    return text[:60]
+    return text
 
 
 def site_name(site: str | None) -> str:
@@ -149,7 +152,7 @@ def _own(kind: str, level: int | None, text: str, site: str, known: dict[str, in
             known[x] = _hash(x)
     ids = np.array([known[x] for x in w], np.int64)
     form = f"{'h%s' % level if kind == 'heading' else 't'} {len(w) if len(w) < 7 else 7 if len(w) < 12 else 8} {text.rstrip()[-1:] in '.!?…'}"
-    whole, shaped, outline, named = _hash(" ".join(w)[:80]), _hash(form), _hash(shape(text)), "{site}" in w
+    whole, shaped, outline, named = _hash(" ".join(w)), _hash(form), _hash(shape(text)), "{site}" in w
     first, last = (int(ids[0]), int(ids[-1])) if len(w) else (0, 0)
     mask = 0xFFFFFFFF
     pairs = (ids[:-1] * 0x85EBCA6B & mask) ^ ids[1:]
@@ -164,36 +167,16 @@ def _own(kind: str, level: int | None, text: str, site: str, known: dict[str, in
     return np.concatenate(((words ^ words >> 15) & (WEIGHTS - 1), np.array(single, np.int64))).astype(np.int32), whole, shaped, named
 
 
-def features(blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str, roles: bool = True, known: dict | None = None) -> list[np.ndarray]:
-    """Hashed words and tags of every block: its own, and the kind of its neighbours. roles False: not the boxes' names.
-
-    known keeps the hashes of words, and what blocks that come again have by themselves, from page to page.
-    """
-    known = {} if known is None else known
-    if len(known) > 300_000:
-        known.clear()
-    seen = known.setdefault("", {})
-    own = []
-    for kind, level, text in blocks:
-        key = (kind, level, text, site)
-        found = seen.get(key)
-        if found is None:
-            found = _own(kind, level, text, site, known)
-            if len(text) < 120:
-                if len(seen) > 50_000:
-                    seen.clear()
-                seen[key] = found
-        own.append(found)
-    own_title, out = _hash(" ".join(masked_words(title, site))[:80]), []
-    marks = []
+def _contexts(blocks: list[tuple[str, int | None, str]], own: list[tuple], tags: list[str], title: str, site: str, known: dict) -> list[list[int]]:
+    """What each block has by its place: its tags, the kind of its neighbours, whether it repeats the title."""
+    own_title, out, marks = _hash(" ".join(masked_words(title, site))), [], []
     for tag in tags:
         mark = known.get("<" + tag)
         if mark is None:
             names = tag.split(" ") if tag else []
-            inside = [x for x in names[2:] if roles or not x.endswith("-box")]
-            mark = known["<" + tag] = (_hash(" ".join(names[:2])) if tag else 0, {True: [_feature(31, _hash(x)) for x in names[2:]], False: [_feature(31, _hash(x)) for x in names[2:] if not x.endswith("-box")]})
-        marks.append((mark[0], mark[1][roles]))
-    for i, (base, whole, shaped, named) in enumerate(own):
+            mark = known["<" + tag] = (_hash(" ".join(names[:2])) if tag else 0, [_feature(31, _hash(x)) for x in names[2:]])
+        marks.append(mark)
+    for i, (_, whole, shaped, _) in enumerate(own):
         kind, level, _ = blocks[i]
         f = [_feature(30, (whole == own_title) * 7 + (kind == "heading") * 3 + (level or 0) * 17)]
         if tags[i]:
@@ -206,10 +189,45 @@ def features(blocks: list[tuple[str, int | None, str]], tags: list[str], site: s
                     f.append(_feature(n + 2, marks[k][0]))
             else:
                 f.append(_feature(n + 3, 0))
-        out.append(np.concatenate((base, np.array(f, np.int32))))
+        out.append(f)
     return out
 
 
+def features(blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str, known: dict | None = None) -> list[np.ndarray]:
+    """Hashed words and tags of every block: its own, and the kind of its neighbours. known keeps the hashes of words."""
+    known = {} if known is None else known
+    own = [_own(kind, level, text, site, known) for kind, level, text in blocks]
+    return [np.concatenate((o[0], np.array(f, np.int32))) for o, f in zip(own, _contexts(blocks, own, tags, title, site, known))]
+
+
+class Scorer:
+    """Scores of the blocks of pages: the sum of the weights of their features. What blocks that come again have by
+    themselves is kept from page to page, within bounds.
+    """
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.bias, self.each = weights, float(weights[-1]), weights.tolist()
+        self.known: dict = {}
+        self.seen: dict[tuple, tuple] = {}
+
+    def scores(self, blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str) -> np.ndarray:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        if len(self.seen) > REPEATED:
+            self.seen.clear()
+        own, each = [], self.each
+        for kind, level, text in blocks:
+            key = (kind, level, text, site)
+            found = self.seen.get(key)
+            if found is None:
+                f, whole, shaped, named = _own(kind, level, text, site, self.known)
+                found = (float(self.weights[f].sum()), whole, shaped, named)
+                if len(text) < SHORT:
+                    self.seen[key] = found
+            own.append(found)
+        return np.array([o[0] + sum([each[x] for x in f]) + self.bias for o, f in zip(own, _contexts(blocks, own, tags, title, site, self.known))])
+
+
 def learn(rows: list[np.ndarray], content: list[bool], rounds: int = 40, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Weights of a logistic regression on sets of hashed features, positive for content; the last one is the bias."""
     size = np.array([len(r) for r in rows])
@@ -239,35 +257,35 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     return at
 
 
-def scan(scores: np.ndarray, margin: float = MARGIN) -> np.ndarray:
-    """Which blocks are content: the best region without the maximal negative runs in it that score below -margin, and
-    the maximal positive runs outside it above margin. Each step is the same linear scan over what the last one left.
+def regions(scores: list[float], edges: list[float]) -> list[bool]:
+    """Which blocks lie in the contiguous regions that together score most: the sum of their blocks less the price of their edges.
+
+    edges[k] is the price of an edge between block k - 1 and block k; the page's own ends are free. One linear scan keeps
+    the best sum that ends inside and outside of a region; with very high prices inside the page it gives the one best
+    region that reaches an end, with prices of 0 the blocks of positive score. So weak blocks go with what is around them,
+    and what stands out pays its edges.
     """
-    content = np.zeros(len(scores), bool)
-    todo = [(0, len(scores), True)]
-    while todo:
-        a, b, looking = todo.pop()
-        if a >= b:
-            continue
-        part = scores[a:b] if looking else -scores[a:b]
-        s, e = best_region(part)
-        if e == s or part[s:e].sum() <= margin:
-            content[a:b] = not looking
-            continue
-        content[a:b] = not looking
-        todo += [(a, a + s, looking), (a + e, b, looking), (a + s, a + e, not looking)]
-    return content
-
-
-def pooled(scores: np.ndarray, boxes: list[int]) -> np.ndarray:
-    """Scores shared within a container: the blocks of one box are content or furniture together, so each has their sum.
-
-    Box -1 stands for a block that is not in the html; it keeps its own score.
+    inside, outside = 0.0, 0.0
+    back: list[tuple[bool, bool]] = []  # whether the best way into a block, inside and outside, comes from inside
+    for s, price in zip(scores, edges):
+        enter, leave = outside - price, inside - price
+        back.append((inside >= enter, leave > outside))
+        inside, outside = max(inside, enter) + s, max(outside, leave)
+    content, here = [], inside > outside
+    for stays, left in reversed(back):
+        content.append(here)
+        here = stays if here else left
+    return content[::-1]
+
+
+def scan(scores: np.ndarray, boxes: list[int], edge: float = EDGE, inner: float = INNER_EDGE) -> list[bool]:
+    """regions of a page's blocks, whose edges cost `inner` within a container and `edge` elsewhere.
+
+    The weights of a block's words and tags are its score; a region begins and ends at tags, so they enter as one sum,
+    of at most MOST_SCORE either way. Box -1 stands for a block that is not in the html.
     """
-    total: dict[int, float] = {}
-    for b, s in zip(boxes, np.clip(scores, -6, 6)):
-        total[b] = total.get(b, 0.0) + float(s)
-    return np.array([s if b < 0 else total[b] for b, s in zip(boxes, scores)])
+    prices = [0.0] + [inner if a == b >= 0 else edge for a, b in zip(boxes, boxes[1:])]
+    return regions(np.clip(scores, -MOST_SCORE, MOST_SCORE).tolist(), prices[: len(scores)])
 
 
 def with_body(content: list[bool], scores: np.ndarray, boxes: list[int], body: list[bool]) -> list[bool]:
@@ -322,8 +340,8 @@ def page_marks(fetched: DataFrame) -> DataFrame:
 def fit(fetched: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
     """Weights from labelled pages: documents whose boxes name their roles. Without any, all weights are 0.
 
-    The html of about fit_pages of them comes to the driver. A page is learned three times, with all its tags, without
-    the names of its boxes, and without tags, so that pages with other classes or no html can be scored too.
+    The html of about fit_pages of them comes to the driver. The names of the boxes are labels and never tags. A page is
+    learned twice, with its tags and without, so that pages with no html can be scored too.
     """
     labelled = fetched.where(F.col("html").contains(f'class="{CONTENT_ROLE}-box"')).select("fetch_id", "url", "html")
     step = max(1, -(-labelled.count() // fit_pages))
@@ -335,13 +353,13 @@ def fit(fetched: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
         blocks = [("heading" if t[0] == "h" and t[1].isdigit() else "text", int(t[1]) if t[0] == "h" and t[1].isdigit() else None, x) for x, t, _, _ in found]
         name, heading = site_name(site), plain(entities.unescape(title[1])) if title else ""
         tags = [x[1] for x in found]
-        for seen, roles in ((tags, True), (tags, False), ([""] * len(found), False)):
-            rows += features(blocks, seen, name, heading, roles, known)
+        for seen in (tags, [""] * len(found)):
+            rows += features(blocks, seen, name, heading, known)
             content += [x[2] == CONTENT_ROLE for x in found]
     return learn(rows, content) if rows else np.zeros(WEIGHTS + 1, np.float32)
 
 
-def judged(pages: DataFrame, fetched: DataFrame, emit, names: tuple[str, ...], kinds: tuple[pa.DataType, ...], schema: str, fit_pages: int = FIT_PAGES, margin: float = MARGIN) -> DataFrame:
+def judged(pages: DataFrame, fetched: DataFrame, emit, names: tuple[str, ...], kinds: tuple[pa.DataType, ...], schema: str, fit_pages: int = FIT_PAGES) -> DataFrame:
     """Rows that emit(page_id, site, blocks, content) gives for each page; content says of each block whether it is the page's own.
 
     blocks are (type, level, text). Byte-identical repeated rows count once. Pages with null blocks are left out; a block
@@ -358,17 +376,17 @@ def judged(pages: DataFrame, fetched: DataFrame, emit, names: tuple[str, ...], k
     columns = ("page_id", "site", "title", "types", "levels", "texts", "keys", "tags", "boxes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        scorer = Scorer(weights)
         for batch in batches:
             out: list[tuple] = []
             for page, site, title, types, levels, texts, keys, tags, boxes in zip(*(batch.column(c).to_pylist() for c in columns)):
                 parts = list(zip(types, levels, texts))
                 at = align([text_key(t) for t in texts], keys) if keys else [-1] * len(parts)
-                found = features(parts, [tags[k] if k >= 0 else "" for k in at], site_name(site), title, True, known)
-                scores = np.array([weights[f].sum() + weights[-1] if t.strip() else 0.0 for f, t in zip(found, texts)])
+                scores = scorer.scores(parts, [tags[k] if k >= 0 else "" for k in at], site_name(site), title)
+                scores[[not t.strip() for t in texts]] = 0.0
                 inside = [boxes[k] if k >= 0 else -1 for k in at]
                 body = [kind != "heading" and bool(t.strip()) for kind, t in zip(types, texts)]
-                kept = with_body(scan(pooled(scores, inside), margin).tolist(), scores, inside, body)
+                kept = with_body(scan(scores, inside), scores, inside, body)
                 out += emit(page, site, parts, [k or not t.strip() for k, t in zip(kept, texts)])
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
@@ -376,10 +394,10 @@ def judged(pages: DataFrame, fetched: DataFrame, emit, names: tuple[str, ...], k
     return joined.select(*columns).mapInArrow(run, schema)
 
 
-def classify(pages: DataFrame, fetched: DataFrame, fit_pages: int = FIT_PAGES, margin: float = MARGIN) -> DataFrame:
+def classify(pages: DataFrame, fetched: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """(page_id, content array<boolean>): for each block of a page whether it is the page's own, as in judged."""
     kinds = (pa.int64(), pa.list_(pa.bool_()))
-    return judged(pages, fetched, lambda page, site, parts, content: [(page, content)], ("page_id", "content"), kinds, "page_id bigint, content array<boolean>", fit_pages, margin)
+    return judged(pages, fetched, lambda page, site, parts, content: [(page, content)], ("page_id", "content"), kinds, "page_id bigint, content array<boolean>", fit_pages)
 
 
 def furniture(classified: DataFrame) -> DataFrame:
