@@ -20,7 +20,7 @@ WEIGHTS = 1 << 18
 ROLE_BOX = re.compile(r"^([a-z]+)-box$")
 CONTENT_ROLE = "content"
 #: What an edge of a content region costs: between two containers, and within one, whose tags hold its blocks together.
-EDGE, INNER_EDGE = 1.0, 9.0
+EDGE, INNER_EDGE = 0.25, 9.0
 #: The most that one block adds to a region's score, or takes from it.
 MOST_SCORE = 6.0
 #: Blocks of fewer characters are kept with their score, as many as REPEATED of them, for the pages on which they come again.

@@ -34,7 +34,7 @@ def test_regions_score_most(items):
 
 def test_regions_are_not_signs():
     """Weak blocks go with what is around them; only what outweighs its edges stands alone."""
-    scores, alone = np.array([-6.0, 5, -1, 4, -6, 0.5, -6]), [-1] * 7
+    scores, alone = np.array([-6.0, 5, -0.4, 4, -6, 0.4, -6]), [-1] * 7
     assert boilerplate.scan(scores, alone) == [False, True, True, True, False, False, False] != (scores > 0).tolist()
     boxes = [0, 1, 1, 1, 2, 2, 2]
     assert boilerplate.scan(np.array([-6.0, 5, -5, 4, -6, 5, -6]), boxes) == [False, True, True, True, False, False, False]
