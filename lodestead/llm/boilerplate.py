@@ -25,6 +25,8 @@ EDGE, INNER_EDGE = 0.25, 9.0
 MOST_SCORE = 6.0
 #: Blocks of fewer characters are kept with their score, as many as REPEATED of them, for the pages on which they come again.
 SHORT, REPEATED = 120, 50_000
+#: Words up to which features are summed one by one.
+FEW_WORDS = 24
 
 TOKEN = re.compile(r"<!--.*?-->|<(script|style|title)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|role)\s*=\s*["']([^"']*)["']""", re.I)
@@ -144,31 +146,36 @@ def _feature(name: int, value: int) -> int:
     return (x ^ x >> 15) & (WEIGHTS - 1)
 
 
-def _own(kind: str, level: int | None, text: str, site: str, known: dict[str, int]) -> tuple[np.ndarray, int, int, bool]:
-    """(features of a block by itself, hash of its words, hash of its form, whether it names the site)."""
+def _forms(kind: str, level: int | None, text: str, site: str, known: dict[str, int]) -> tuple[list[int], list[int], int, int]:
+    """(hashes of a block's words, features of its form, hash of its whole text, hash of its kind and length)."""
     w = masked_words(text, site)
     for x in w:
         if x not in known:
             known[x] = _hash(x)
-    ids = np.array([known[x] for x in w], np.int64)
+    ids = [known[x] for x in w]
     form = f"{'h%s' % level if kind == 'heading' else 't'} {len(w) if len(w) < 7 else 7 if len(w) < 12 else 8} {text.rstrip()[-1:] in '.!?…'}"
-    whole, shaped, outline, named = _hash(" ".join(w)), _hash(form), _hash(shape(text)), "{site}" in w
-    first, last = (int(ids[0]), int(ids[-1])) if len(w) else (0, 0)
-    mask = 0xFFFFFFFF
-    pairs = (ids[:-1] * 0x85EBCA6B & mask) ^ ids[1:]
-    words = np.concatenate(((ids ^ 11) * 0x9E3779B1 & mask, (pairs ^ 12) * 0x9E3779B1 & mask))
-    single = [
-        _feature(n, v)
-        for n, v in (
-            (13, shaped), (14, whole), (15, first), (16, last), (17, _hash(text[:1]) if not text[:1].isalnum() else 1), (18, outline),
-            (19, outline ^ first * 3), (20, outline ^ last * 5), (21, shaped + named),
-        )
-    ]
-    return np.concatenate(((words ^ words >> 15) & (WEIGHTS - 1), np.array(single, np.int64))).astype(np.int32), whole, shaped, named
+    whole, shaped, outline = _hash(" ".join(w)), _hash(form), _hash(shape(text))
+    first, last = (ids[0], ids[-1]) if ids else (0, 0)
+    single = (
+        (13, shaped), (14, whole), (15, first), (16, last), (17, _hash(text[:1]) if not text[:1].isalnum() else 1), (18, outline),
+        (19, outline ^ first * 3), (20, outline ^ last * 5), (21, shaped + ("{site}" in w)),
+    )
+    return ids, [_feature(n, v) for n, v in single], whole, shaped
+
+
+def _word_features(ids: list[int]) -> np.ndarray:
+    """Features of words and of word pairs."""
+    x, mask = np.array(ids, np.int64), 0xFFFFFFFF
+    pairs = (x[:-1] * 0x85EBCA6B & mask) ^ x[1:]
+    words = np.concatenate(((x ^ 11) * 0x9E3779B1 & mask, (pairs ^ 12) * 0x9E3779B1 & mask))
+    return ((words ^ words >> 15) & (WEIGHTS - 1)).astype(np.int32)
 
 
 def _contexts(blocks: list[tuple[str, int | None, str]], own: list[tuple], tags: list[str], title: str, site: str, known: dict) -> list[list[int]]:
-    """What each block has by its place: its tags, the kind of its neighbours, whether it repeats the title."""
+    """What each block has by its place: its tags, the kind of its neighbours, whether it repeats the title.
+
+    own: (anything, hash of the whole text, hash of kind and length) of the blocks.
+    """
     own_title, out, marks = _hash(" ".join(masked_words(title, site))), [], []
     for tag in tags:
         mark = known.get("<" + tag)
@@ -176,7 +183,7 @@ def _contexts(blocks: list[tuple[str, int | None, str]], own: list[tuple], tags:
             names = tag.split(" ") if tag else []
             mark = known["<" + tag] = (_hash(" ".join(names[:2])) if tag else 0, [_feature(31, _hash(x)) for x in names[2:]])
         marks.append(mark)
-    for i, (_, whole, shaped, _) in enumerate(own):
+    for i, (_, whole, shaped) in enumerate(own):
         kind, level, _ = blocks[i]
         f = [_feature(30, (whole == own_title) * 7 + (kind == "heading") * 3 + (level or 0) * 17)]
         if tags[i]:
@@ -196,7 +203,10 @@ def _contexts(blocks: list[tuple[str, int | None, str]], own: list[tuple], tags:
 def features(blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str, known: dict | None = None) -> list[np.ndarray]:
     """Hashed words and tags of every block: its own, and the kind of its neighbours. known keeps the hashes of words."""
     known = {} if known is None else known
-    own = [_own(kind, level, text, site, known) for kind, level, text in blocks]
+    own = []
+    for kind, level, text in blocks:
+        ids, single, whole, shaped = _forms(kind, level, text, site, known)
+        own.append((np.concatenate((_word_features(ids), np.array(single, np.int32))), whole, shaped))
     return [np.concatenate((o[0], np.array(f, np.int32))) for o, f in zip(own, _contexts(blocks, own, tags, title, site, known))]
 
 
@@ -217,11 +227,16 @@ class Scorer:
             self.seen.clear()
         own, each = [], self.each
         for kind, level, text in blocks:
-            key = (kind, level, text, site)
+            key = (kind, level, text, site if site in text.lower() else "")
             found = self.seen.get(key)
             if found is None:
-                f, whole, shaped, named = _own(kind, level, text, site, self.known)
-                found = (float(self.weights[f].sum()), whole, shaped, named)
+                ids, single, whole, shaped = _forms(*key, self.known)
+                if len(ids) > FEW_WORDS:
+                    total = float(self.weights[_word_features(ids)].sum())
+                else:
+                    pairs = [(x * 0x85EBCA6B & 0xFFFFFFFF) ^ y for x, y in zip(ids, ids[1:])]
+                    total = sum([each[_feature(11, x)] for x in ids]) + sum([each[_feature(12, x)] for x in pairs])
+                found = (total + sum([each[x] for x in single]), whole, shaped)
                 if len(text) < SHORT:
                     self.seen[key] = found
             own.append(found)
