@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestead.llm import boilerplate
+from lodestead.llm.grouping import consecutive
 from lodestead.tables import persisted
 
-#: Words that a page's own text has at most to count as short when templates get their statistics.
+#: Words that a page's own text has at most to count as short. Short pages give the template classifier its labels and a
+#: template its odds; templates are mined from the own text of all pages.
 SHORT_PAGE = 100
 #: Tokens of the fixed-depth tree below the token count, and share of equal tokens that joins a message to a template.
 DEPTH, ALIKE = 2, 0.6
 #: Messages that the template classifier is fitted on, at most (about), of each kind.
 FIT_MESSAGES = 6000
-#: Messages of one leaf that are clustered together before their templates are merged.
-LEAF_PARTS = 16
+#: Messages of one leaf that are clustered together; the templates of a leaf's parts are clustered once more.
+LEAF_ROWS = 2000
 #: A word belongs to filler text if it is at least this many times as frequent there.
 FILLER_ODDS = 10.0
 WEIGHTS = 1 << 16
@@ -30,8 +32,8 @@ SLOTS = re.compile(
     r"\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\]|[$#]\{[^{}]*\}|<%.*?%>|%[A-Z][A-Z0-9_]*%|__[A-Z][A-Z0-9_]*__|\{\d+\}"
     r"|\[object Object\]|\[[A-Z][a-z]+(?: [a-z]+)*\]|\bundefined\b|\bNaN\b"
 )
-#: Fixed value: how filler text begins.
-FILLER_START = re.compile(r"^\W*lorem ipsum\b", re.I)
+#: Fixed value: how well-known filler texts begin; their words are looked for elsewhere.
+FILLER = r"(?i)^\W*(?:lorem ipsum|dolor sit amet|sed ut perspiciatis|li europan lingues|behind the word mountains|hinter den wortbergen|blindtext)\b"
 
 #: What any slot holds, for a quick look.
 SLOT_HINT = re.compile(r"[\[{%]|__|undefined|NaN")
@@ -74,24 +76,38 @@ def grow_tree(messages: list[tuple[str, int]], depth: int = DEPTH, alike: float
     return [" ".join(where[m]) for m, _ in messages]
 
 
-def mine_templates(messages: DataFrame) -> DataFrame:
+def _clustered(messages: DataFrame) -> DataFrame:
+    """(msg, weight, template) of messages (task, msg, weight); the messages of a task are clustered together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in consecutive(batches):
+            msg, weight, out = table.column("msg").to_pylist(), table.column("weight").to_pylist(), []
+            for s, e in zip(edges[:-1], edges[1:]):
+                out += grow_tree(list(zip(msg[s:e], weight[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((msg, pa.string()), (weight, pa.int64()), (out, pa.string()))], names=["msg", "weight", "template"])
+
+    rows = messages.select("task", "msg", F.col("weight").cast("bigint").alias("weight"))
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "msg string, weight bigint, template string")
+
+
+def mine_templates(messages: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(msg, template) of (msg, weight), the tree's leaves spread over tasks.
 
-    A leaf's messages are clustered in LEAF_PARTS parts, then the parts' templates, of which there are few, together.
+    A leaf of more than leaf_rows messages is clustered in parts, then the parts' templates, parted by their last token
+    where they are still too many. So every message gets a template; one of a very large leaf may come twice.
     """
+    tokens = F.split("msg", " ")
+    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"msg": pdf.msg, "weight": pdf.weight, "template": grow_tree(list(zip(pdf.msg, pdf.weight)))})
-
-    def leaf(c: str):
-        tokens = F.split(c, " ")
-        return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
+    def tasks(rows: DataFrame, by) -> DataFrame:
+        placed = rows.withColumn("leaf", leaf)
+        large = placed.groupBy("leaf").agg(F.ceil(F.count("*") / leaf_rows).cast("int").alias("parts")).where("parts > 1")
+        placed = placed.join(large, "leaf", "left")
+        return placed.withColumn("task", F.when(F.col("parts").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.pmod(F.xxhash64(by), F.col("parts")))))
 
-    first = messages.withColumn("leaf", leaf("msg")).withColumn("part", F.pmod(F.xxhash64("msg"), F.lit(LEAF_PARTS)))
-    first = first.groupBy("leaf", "part").applyInPandas(cluster, "msg string, weight bigint, template string")
-    first = persisted(first, "p5-parts")
+    first = persisted(_clustered(tasks(messages, F.col("msg"))), "p5-parts")
     second = first.groupBy("template").agg(F.sum("weight").alias("weight")).select(F.col("template").alias("msg"), "weight")
-    second = second.groupBy(leaf("msg").alias("leaf")).applyInPandas(lambda pdf: cluster(pdf[["msg", "weight"]]), "msg string, weight bigint, template string")
+    second = _clustered(tasks(second, F.element_at(tokens, -1)))
     return first.select("msg", F.col("template").alias("own")).join(second.select(F.col("msg").alias("own"), "template"), "own").select("msg", "template")
 
 
@@ -101,16 +117,41 @@ def _features(msg: str) -> np.ndarray:
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & (WEIGHTS - 1) for x in f], np.int32)
 
 
-def filler_words(filler: list[list[str]], ordinary: list[list[str]]) -> set[str]:
-    """Words of filler text: in at least two of its blocks, and FILLER_ODDS times as frequent in them as elsewhere."""
-    near: dict[str, int] = {}
-    far: dict[str, int] = {}
-    for texts, count in ((filler, near), (ordinary, far)):
-        for words in texts:
-            for w in set(words):
-                count[w] = count.get(w, 0) + 1
-    a, b = max(1, len(filler)), max(1, len(ordinary))
-    return {w for w, n in near.items() if n >= 2 and n / a > FILLER_ODDS * (far.get(w, 0) + 0.5) / b}
+def filler_words(messages: DataFrame) -> set[str]:
+    """Words of filler text, counted over all messages (text): in at least two that hold a phrase of known filler, and
+    FILLER_ODDS times as frequent in those as in the others. The words of known filler come to the driver.
+    """
+    is_filler = F.col("text").rlike(FILLER)
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    near = messages.where(is_filler).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("near")).where("near > 1")
+    near = persisted(near, "p5-filler")
+    if near.isEmpty():
+        return set()
+    sizes = messages.agg(F.count(F.when(is_filler, 1)).alias("a"), F.count(F.when(~is_filler, 1)).alias("b")).first()
+    far = messages.where(~is_filler).select(F.explode(words).alias("word")).join(near, "word", "left_semi").groupBy("word").agg(F.count("*").alias("far"))
+    odds = F.col("near") / sizes.a > FILLER_ODDS * (F.coalesce("far", F.lit(0)) + 0.5) / max(1, sizes.b)
+    return {r.word for r in near.join(far, "word", "left").where(odds).select("word").collect()}
+
+
+def fitted(rows: list[tuple[np.ndarray, bool]]) -> np.ndarray:
+    """Weights of a linear classifier of messages (features, whether on short pages); zeros unless there are both kinds.
+
+    Error pages may be long, so a message isn't ordinary only because no short page has it: those that a classifier of
+    the other half of the rows takes for residue aren't learned from.
+    """
+
+    def learned(part: list[tuple[np.ndarray, bool]]) -> np.ndarray:
+        if not any(y for _, y in part) or all(y for _, y in part):
+            return np.zeros(WEIGHTS + 1, np.float32)
+        full = boilerplate.learn([f for f, _ in part], [y for _, y in part])
+        return np.append(full[:WEIGHTS], full[-1])
+
+    halves = [rows[::2], rows[1::2]]
+    kept = []
+    for own, other in (halves, halves[::-1]):
+        w = learned(other)
+        kept += [(f, y) for f, y in own if y or w[f].sum() + w[-1] <= 0]
+    return learned(kept)
 
 
 def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -124,12 +165,22 @@ def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
     names = ("page_id", "pos", "text", "msg", "words", "own", "body", "slots", "short")
     kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_())
 
+    known: dict[tuple[str, str], tuple[str, int, int]] = {}  # short blocks come again
+
     def emit(page: int, site: str, blocks: list[tuple], content: list[bool]) -> list[tuple]:
         name, rows = boilerplate.site_name(site), []
+        if len(known) > boilerplate.REPEATED:
+            known.clear()
         for pos, ((kind, _, text), kept) in enumerate(zip(blocks, content)):
             if text.strip():
-                slots = len(SLOTS.findall(text)) if SLOT_HINT.search(text) else 0
-                rows.append((page, pos, text, message(text, name, slots), max(1, len(WORD.findall(text))), kept, kind != "heading", slots))
+                key = (text, name if name in text.lower() else "")
+                found = known.get(key)
+                if found is None:
+                    slots = len(SLOTS.findall(text)) if SLOT_HINT.search(text) else 0
+                    found = (message(text, key[1], slots), max(1, len(WORD.findall(text))), slots)
+                    if len(text) < boilerplate.SHORT:
+                        known[key] = found
+                rows.append((page, pos, text, found[0], found[1], kept, kind != "heading", found[2]))
         short = sum(r[4] for r in rows if r[5] and r[6]) <= SHORT_PAGE
         return [(*r, short) for r in rows]
 
@@ -140,16 +191,16 @@ def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
 def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataFrame:
     """blocks, without their text, with `residue`: what is filler, has an unresolved slot, or matches a template that stands for content.
 
-    Messages are counted over all pages. Those seen on a short page make the template tree; a template is judged once,
-    by a linear classifier of its words plus the log odds of the short and other pages that it is on, and its messages
-    inherit the verdict. The classifier is fitted on bounded samples of messages of short pages' own text and of the
-    other pages' blocks, by the hash of the message.
+    Messages are counted over all pages. Those of any page's own text, and all that are on a short page, make the
+    template tree; a template is judged once, by a linear classifier of its words plus the log odds of the short and
+    other pages that it is on, and its messages inherit the verdict. The classifier is fitted on bounded samples of
+    messages of short pages' own text and of the other pages' blocks, by the hash of the message.
     """
     counted = blocks.where("body and msg != ''").groupBy("msg").agg(
-        F.sum(F.col("short").cast("int")).alias("on_short"), F.max(F.col("short") & F.col("own")).alias("own"), F.count("*").alias("n"), F.min("text").alias("text"), F.max("slots").alias("slots")
+        F.sum(F.col("short").cast("int")).alias("on_short"), F.max("own").alias("own"), F.count("*").alias("n"), F.min("text").alias("text"), F.max("slots").alias("slots")
     )
     counted = persisted(counted, "p5-messages")
-    suspects = counted.where("on_short > 0")
+    suspects = counted.where("own or on_short > 0")
     others = counted.where("2 * on_short <= n")
 
     def sample(df: DataFrame, most: int) -> list:
@@ -157,8 +208,7 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
         return df.where(F.pmod(F.xxhash64("msg"), F.lit(step)) == 0).orderBy("msg").collect()
 
     ordinary = sample(others, 3 * fit_messages)
-    filler = sample(counted.where(F.col("text").rlike(r"(?i)^\W*lorem ipsum\b")), fit_messages)
-    words = filler_words([WORD.findall(r.text.lower()) for r in filler], [WORD.findall(r.text.lower()) for r in ordinary])
+    words = filler_words(counted)
 
     def filled(text: str) -> bool:
         own = WORD.findall(text.lower())
@@ -166,10 +216,7 @@ def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataF
 
     rows = [(_features(r.msg), True) for r in sample(suspects.where("own and 2 * on_short > n"), fit_messages) if not filled(r.text)]
     rows += [(_features(r.msg), False) for r in ordinary if not filled(r.text) and not r.slots]
-    weights = np.zeros(WEIGHTS + 1, np.float32)
-    if any(y for _, y in rows) and not all(y for _, y in rows):
-        full = boilerplate.learn([f for f, _ in rows], [y for _, y in rows])
-        weights = np.append(full[:WEIGHTS], full[-1])
+    weights = fitted(rows)
 
     templates = mine_templates(suspects.select("msg", F.col("n").alias("weight")))
     judged = suspects.select("msg", "on_short", "n").join(templates, "msg").groupBy("template").agg(F.sum("on_short").alias("on_short"), F.sum("n").alias("n"))

@@ -163,6 +163,38 @@ def test_residue_pages(spark):
     assert residue.judge_pages(empty, spark.createDataFrame([], FETCHED)).count() == 0
 
 
+def test_long_error_pages_of_messages_that_no_short_page_holds(spark):
+    fetched, pages, _ = make_site(240, 80, 2)
+    nouns = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    kinds = ["Page /{0} was not found, the {1} is missing.", "The {0} is down for maintenance, the {1} is back soon.", "Please enable scripts to see the {0} or the {1}."]
+    url = "https://www.tapez.example/x"
+    pages = [(*p[:4], p[4] * 3, p[5]) for p in pages]
+    for i in range(150):
+        text = kinds[i % 3].format(nouns[i % 12], nouns[i * 7 % 11])
+        pages.append((9000 + i, None, url, "t", [("text", None, text)], text))
+    for i in (9800, 9801):
+        texts = [kinds[k % 3].replace("the", "this").format(f"{n}{i}", f"{n} {nouns[k % 12 - 1]}") for k, n in enumerate(nouns * 2)]
+        assert sum(len(residue.WORD.findall(t)) for t in texts) > residue.SHORT_PAGE
+        pages.append((i, None, url, "t", [("text", None, t) for t in texts], "\n".join(texts)))
+    judged = residue.judge_pages(spark.createDataFrame(pages, PAGES), spark.createDataFrame(fetched, FETCHED)).collect()
+    assert {x.page_id for x in judged if x.excluded} == {9000 + i for i in range(150)} | {9800, 9801}
+
+
+def test_large_leaves_lose_no_message(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    messages = [(f"the page {w} {v} is gone now", 1) for w in words for v in words[:9]] + [("other", 3), ("", 1)]
+    got = dict(map(tuple, residue.mine_templates(spark.createDataFrame(messages, "msg string, weight bigint"), leaf_rows=40).collect()))
+    assert set(got) == {m for m, _ in messages} and len(set(got.values())) <= 4 and got["other"] == "other"
+
+
+def test_filler_words_are_counted_over_all_messages(spark):
+    filler = [f"Lorem ipsum vesti torqu campi {w}" for w in ("dolor", "sat", "dolor")] + ["vesti alone"]
+    plain = [f"the ledger keeps one token and dolor {k}" for k in range(40)]
+    found = residue.filler_words(spark.createDataFrame([(t,) for t in filler + plain], "text string"))
+    assert found == {"lorem", "ipsum", "vesti", "torqu", "campi"}
+    assert residue.filler_words(spark.createDataFrame([], "text string")) == set()
+
+
 # near duplicates
 
 
