@@ -154,7 +154,9 @@ def _forms(kind: str, level: int | None, text: str, site: str, known: dict[str,
             known[x] = _hash(x)
     ids = [known[x] for x in w]
     form = f"{'h%s' % level if kind == 'heading' else 't'} {len(w) if len(w) < 7 else 7 if len(w) < 12 else 8} {text.rstrip()[-1:] in '.!?…'}"
-    whole, shaped, outline = _hash(" ".join(w)), _hash(form), _hash(shape(text))
+    # the outline of a long text is that of its words without its marks
+    outline = _hash(shape(text) if len(text) < SHORT else "".join(["0" if x == "0" else "a" for x in w]))
+    whole, shaped = _hash(" ".join(w)), _hash(form)
     first, last = (ids[0], ids[-1]) if ids else (0, 0)
     single = (
         (13, shaped), (14, whole), (15, first), (16, last), (17, _hash(text[:1]) if not text[:1].isalnum() else 1), (18, outline),
@@ -219,6 +221,18 @@ class Scorer:
         self.weights, self.bias, self.each = weights, float(weights[-1]), weights.tolist()
         self.known: dict = {}
         self.seen: dict[tuple, tuple] = {}
+        self.keys: dict[str, int] = {}
+
+    def text_key(self, text: str) -> int:
+        """text_key, kept for short texts."""
+        found = self.keys.get(text)
+        if found is None:
+            if len(self.keys) > REPEATED:
+                self.keys.clear()
+            found = text_key(text)
+            if len(text) < SHORT:
+                self.keys[text] = found
+        return found
 
     def scores(self, blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str) -> np.ndarray:
         if len(self.known) > 300_000:
@@ -396,7 +410,7 @@ def judged(pages: DataFrame, fetched: DataFrame, emit, names: tuple[str, ...], k
             out: list[tuple] = []
             for page, site, title, types, levels, texts, keys, tags, boxes in zip(*(batch.column(c).to_pylist() for c in columns)):
                 parts = list(zip(types, levels, texts))
-                at = align([text_key(t) for t in texts], keys) if keys else [-1] * len(parts)
+                at = align([scorer.text_key(t) for t in texts], keys) if keys else [-1] * len(parts)
                 scores = scorer.scores(parts, [tags[k] if k >= 0 else "" for k in at], site_name(site), title)
                 scores[[not t.strip() for t in texts]] = 0.0
                 inside = [boxes[k] if k >= 0 else -1 for k in at]

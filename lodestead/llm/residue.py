@@ -1,12 +1,13 @@
 """Problem 5: template residue and error-page text, by message templates mined with a fixed-depth prefix tree."""
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,53 +77,78 @@ def grow_tree(messages: list[tuple[str, int]], depth: int = DEPTH, alike: float
     return [" ".join(where[m]) for m, _ in messages]
 
 
-def _clustered(messages: DataFrame) -> DataFrame:
-    """(msg, weight, template) of messages (task, msg, weight); the messages of a task are clustered together."""
+def leaf_tasks(messages: DataFrame, by, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """messages (msg, ...) with `task`, the tree's leaf, and `cut`, whether that is a part of one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edges in consecutive(batches):
-            msg, weight, out = table.column("msg").to_pylist(), table.column("weight").to_pylist(), []
-            for s, e in zip(edges[:-1], edges[1:]):
-                out += grow_tree(list(zip(msg[s:e], weight[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((msg, pa.string()), (weight, pa.int64()), (out, pa.string()))], names=["msg", "weight", "template"])
-
-    rows = messages.select("task", "msg", F.col("weight").cast("bigint").alias("weight"))
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "msg string, weight bigint, template string")
-
-
-def mine_templates(messages: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(msg, template) of (msg, weight), the tree's leaves spread over tasks.
-
-    A leaf of more than leaf_rows messages is clustered in parts, then the parts' templates, parted by their last token
-    where they are still too many. So every message gets a template; one of a very large leaf may come twice.
+    A leaf of more than leaf_rows messages is cut into parts by the hash of `by`.
     """
     tokens = F.split("msg", " ")
-    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
-
-    def tasks(rows: DataFrame, by) -> DataFrame:
-        placed = rows.withColumn("leaf", leaf)
-        large = placed.groupBy("leaf").agg(F.ceil(F.count("*") / leaf_rows).cast("int").alias("parts")).where("parts > 1")
-        placed = placed.join(large, "leaf", "left")
-        return placed.withColumn("task", F.when(F.col("parts").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.pmod(F.xxhash64(by), F.col("parts")))))
+    placed = messages.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
+    large = placed.groupBy("leaf").agg(F.ceil(F.count("*") / leaf_rows).cast("int").alias("parts")).where("parts > 1")
+    placed = placed.join(large, "leaf", "left")
+    part = F.xxhash64("leaf", F.pmod(F.xxhash64(by), F.col("parts")))
+    return placed.withColumn("task", F.coalesce(part, "leaf")).withColumn("cut", F.col("parts").isNotNull()).drop("leaf", "parts")
 
-    first = persisted(_clustered(tasks(messages, F.col("msg"))), "p5-parts")
-    second = first.groupBy("template").agg(F.sum("weight").alias("weight")).select(F.col("template").alias("msg"), "weight")
-    second = _clustered(tasks(second, F.element_at(tokens, -1)))
-    return first.select("msg", F.col("template").alias("own")).join(second.select(F.col("msg").alias("own"), "template"), "own").select("msg", "template")
 
+def judged_messages(messages: DataFrame, judge, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(mid) of the messages (mid, msg, on_short, n) whose template judge(template, on_short, n) condemns, or judge(msg, None, None).
 
-def _features(msg: str) -> np.ndarray:
+    The leaves of the tree are spread over tasks; each template is judged once, in the task that has all its messages,
+    and they inherit the verdict. The templates of a leaf's parts are clustered once more, by their last token where they
+    are still too many, so every message has a template, and one of a very large leaf may have two.
+    """
+    schema = "mid bigint, template string, weight bigint, on_short bigint, n bigint"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(rows: DataFrame, final: bool) -> DataFrame:
+        def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, edges in consecutive(batches):
+                mid, msg, weight, short, n, cut = (table.column(c).to_pylist() for c in ("mid", "msg", "weight", "on_short", "n", "cut"))
+                out = []
+                for s, e in zip(edges[:-1], edges[1:]):
+                    templates = grow_tree(list(zip(msg[s:e], weight[s:e])))
+                    if cut[s] and not final:
+                        out += zip(mid[s:e], templates, weight[s:e], short[s:e], n[s:e])
+                        continue
+                    total: dict[str, list[int]] = {}
+                    for t, x, y in zip(templates, short[s:e], n[s:e]):
+                        sums = total.setdefault(t, [0, 0])
+                        sums[0] += x
+                        sums[1] += y
+                    bad = {t for t, (x, y) in total.items() if judge(t, x, y)}
+                    # what isn't a template by itself (mid is null) is known by its text
+                    out += [(i, m if i is None else None, 0, 0, 0) for i, m, t in zip(mid[s:e], msg[s:e], templates) if t in bad or judge(m, None, None)]
+                cols = list(zip(*out)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "template" else pa.int64()) for c, k in zip(cols, names)], names=names)
+
+        return rows.select("task", "cut", "mid", "msg", *(F.col(c).cast("bigint").alias(c) for c in ("weight", "on_short", "n"))).repartition("task").sortWithinPartitions("task").mapInArrow(cluster, schema)
+
+    first = persisted(run(leaf_tasks(messages.withColumn("weight", F.col("n")), F.col("msg"), leaf_rows), False), "p5-first")
+    open_ = first.where("template is not null")
+    if open_.isEmpty():
+        return first.select("mid")
+    parts = open_.groupBy(F.col("template").alias("msg")).agg(*(F.sum(c).alias(c) for c in ("weight", "on_short", "n"))).withColumn("mid", F.lit(None).cast("bigint"))
+    second = run(leaf_tasks(parts, F.element_at(F.split("msg", " "), -1), leaf_rows), True)
+    return first.where("template is null").select("mid").union(open_.join(second.select("template"), "template", "left_semi").select("mid"))
+
+
+def _features(msg: str, known: dict[str, int]) -> np.ndarray:
+    """Words, word pairs, first word and number of words of a message; known keeps the hashes of words."""
     tokens = msg.split(" ")
-    f = [f"w:{t}" for t in set(tokens)] + [f"b:{a} {b}" for a, b in set(zip(tokens, tokens[1:]))] + [f"s:{tokens[0]}", f"n:{min(len(tokens), 12)}"]
-    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & (WEIGHTS - 1) for x in f], np.int32)
+    for t in tokens:
+        if t not in known:
+            known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+    ids = [known[t] for t in tokens]
+    both = np.unique(boilerplate._word_features(ids))
+    return np.append(both, [boilerplate._feature(60, ids[0]), boilerplate._feature(61, min(len(ids), 12))]) & (WEIGHTS - 1)
 
 
 def filler_words(messages: DataFrame) -> set[str]:
-    """Words of filler text, counted over all messages (text): in at least two that hold a phrase of known filler, and
+    """Words of filler text, counted over all messages (msg): in at least two that begin like known filler, and
     FILLER_ODDS times as frequent in those as in the others. The words of known filler come to the driver.
     """
-    is_filler = F.col("text").rlike(FILLER)
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    is_filler = F.col("msg").rlike(FILLER)
+    words = F.array_distinct(F.filter(F.split("msg", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     near = messages.where(is_filler).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("near")).where("near > 1")
     near = persisted(near, "p5-filler")
     if near.isEmpty():
@@ -155,17 +181,18 @@ def fitted(rows: list[tuple[np.ndarray, bool]]) -> np.ndarray:
 
 
 def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
-    """(page_id, pos, text, msg, words, own, body, slots, short): every block with text of every page.
+    """(page_id, pos, mid, msg, words, own, body, slots, short): every block with text of every page.
 
-    Lines of the text stand for the blocks where those are null. own: content by the boilerplate operator. body: not a
-    heading. words: at least 1. slots: unresolved ones. short: the page's own body has at most SHORT_PAGE words.
+    Lines of the text stand for the blocks where those are null. mid: hash of the block's message, which only body blocks
+    have with them. own: content by the boilerplate operator. body: not a heading. words: at least 1. slots: unresolved
+    ones. short: the page's own body has at most SHORT_PAGE words.
     """
     line = F.transform(F.split("text", "\n", -1), lambda t: F.struct(F.lit("text").alias("type"), F.lit(None).cast("int").alias("level"), t.alias("text")))
     pages = pages.withColumn("blocks", F.coalesce("blocks", line))
-    names = ("page_id", "pos", "text", "msg", "words", "own", "body", "slots", "short")
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_())
-
-    known: dict[tuple[str, str], tuple[str, int, int]] = {}  # short blocks come again
+    schema = "page_id bigint, pos int, mid bigint, msg string, words int, own boolean, body boolean, slots int, short boolean"
+    names = tuple(f.split(" ")[0] for f in schema.split(", "))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.bool_())
+    known: dict[tuple[str, str], tuple[int, str, int, int]] = {}  # short blocks come again
 
     def emit(page: int, site: str, blocks: list[tuple], content: list[bool]) -> list[tuple]:
         name, rows = boilerplate.site_name(site), []
@@ -177,67 +204,61 @@ def page_blocks(pages: DataFrame, fetched: DataFrame) -> DataFrame:
                 found = known.get(key)
                 if found is None:
                     slots = len(SLOTS.findall(text)) if SLOT_HINT.search(text) else 0
-                    found = (message(text, key[1], slots), max(1, len(WORD.findall(text))), slots)
+                    msg = message(text, key[1], slots)
+                    found = (xxhash.xxh64_intdigest(msg) - (1 << 63), msg, max(1, len(WORD.findall(text))), slots)
                     if len(text) < boilerplate.SHORT:
                         known[key] = found
-                rows.append((page, pos, text, found[0], found[1], kept, kind != "heading", found[2]))
+                mid, msg, words, slots = found
+                rows.append((page, pos, mid, msg if kind != "heading" else None, words, kept, kind != "heading", slots))
         short = sum(r[4] for r in rows if r[5] and r[6]) <= SHORT_PAGE
         return [(*r, short) for r in rows]
 
-    schema = "page_id bigint, pos int, text string, msg string, words int, own boolean, body boolean, slots int, short boolean"
     return boilerplate.judged(pages, fetched, emit, names, kinds, schema)
 
 
 def residue_blocks(blocks: DataFrame, fit_messages: int = FIT_MESSAGES) -> DataFrame:
-    """blocks, without their text, with `residue`: what is filler, has an unresolved slot, or matches a template that stands for content.
+    """blocks, without their message, with `residue`: what is filler, has an unresolved slot, or matches a template that stands for content.
 
     Messages are counted over all pages. Those of any page's own text, and all that are on a short page, make the
     template tree; a template is judged once, by a linear classifier of its words plus the log odds of the short and
-    other pages that it is on, and its messages inherit the verdict. The classifier is fitted on bounded samples of
-    messages of short pages' own text and of the other pages' blocks, by the hash of the message.
+    other pages that it is on, and its messages inherit the verdict. A message is filler if half of its words are. The
+    classifier is fitted on bounded samples of messages of short pages' own text and of the other pages' blocks, by the
+    hash of the message.
     """
-    counted = blocks.where("body and msg != ''").groupBy("msg").agg(
-        F.sum(F.col("short").cast("int")).alias("on_short"), F.max("own").alias("own"), F.count("*").alias("n"), F.min("text").alias("text"), F.max("slots").alias("slots")
+    counted = blocks.where("msg != ''").groupBy("mid").agg(
+        F.first("msg").alias("msg"), F.sum(F.col("short").cast("int")).alias("on_short"), F.max("own").alias("own"), F.count("*").alias("n"), F.max("slots").alias("slots")
     )
     counted = persisted(counted, "p5-messages")
     suspects = counted.where("own or on_short > 0")
-    others = counted.where("2 * on_short <= n")
 
     def sample(df: DataFrame, most: int) -> list:
         step = max(1, -(-df.count() // most))
-        return df.where(F.pmod(F.xxhash64("msg"), F.lit(step)) == 0).orderBy("msg").collect()
+        return df.where(F.pmod("mid", F.lit(step)) == 0).orderBy("msg").collect()
 
-    ordinary = sample(others, 3 * fit_messages)
     words = filler_words(counted)
+    known: dict[str, int] = {}
 
-    def filled(text: str) -> bool:
-        own = WORD.findall(text.lower())
+    def filled(msg: str) -> bool:
+        own = WORD.findall(msg)
         return bool(own) and 2 * sum(map(words.__contains__, own)) >= len(own)
 
-    rows = [(_features(r.msg), True) for r in sample(suspects.where("own and 2 * on_short > n"), fit_messages) if not filled(r.text)]
-    rows += [(_features(r.msg), False) for r in ordinary if not filled(r.text) and not r.slots]
+    rows = [(_features(r.msg, known), True) for r in sample(suspects.where("own and 2 * on_short > n"), fit_messages) if not filled(r.msg)]
+    rows += [(_features(r.msg, known), False) for r in sample(counted.where("2 * on_short <= n"), 3 * fit_messages) if not filled(r.msg) and not r.slots]
     weights = fitted(rows)
-
-    templates = mine_templates(suspects.select("msg", F.col("n").alias("weight")))
-    judged = suspects.select("msg", "on_short", "n").join(templates, "msg").groupBy("template").agg(F.sum("on_short").alias("on_short"), F.sum("n").alias("n"))
-
-    @F.pandas_udf("double")
-    def score(msg: pd.Series) -> pd.Series:
-        return msg.map(lambda m: float(weights[_features(m)].sum() + weights[-1]))
-
-    odds = F.log((F.col("on_short") + 0.5) / (F.col("n") - F.col("on_short") + 0.5))
-    judged = judged.withColumn("verdict", score("template") + odds > 0)
-    verdicts = persisted(templates.join(judged.select("template", "verdict"), "template").where("verdict").select("msg"), "p5-verdicts")
-
-    @F.pandas_udf("boolean")
-    def is_filler(text: pd.Series) -> pd.Series:
-        return text.map(filled)
-
-    # filler is looked for where words count: in bodies of pages' own text
-    looked = blocks.where("own and body and slots = 0").withColumn("plain", is_filler("text"))
-    rest = blocks.where("not (own and body and slots = 0)").withColumn("plain", F.col("slots") > 0)
-    known = looked.unionByName(rest).drop("text").join(verdicts.withColumn("matched", F.lit(True)), "msg", "left")
-    return known.withColumn("residue", F.col("plain") | F.coalesce("matched", F.lit(False))).drop("matched", "plain", "msg")
+    hashes: dict[str, int] = {}
+
+    def judge(text: str, on_short: int | None, n: int | None) -> bool:
+        """Of a template with its counts, whether it stands for content; of a message, whether it is filler."""
+        if n is None:
+            return bool(words) and filled(text)
+        if len(hashes) > 300_000:
+            hashes.clear()
+        odds = math.log((on_short + 0.5) / (n - on_short + 0.5))
+        return float(weights[_features(text, hashes)].sum() + weights[-1]) + odds > 0
+
+    bad = persisted(judged_messages(suspects.select("mid", "msg", "on_short", "n"), judge), "p5-verdicts")
+    known_bad = blocks.drop("msg").join(bad.distinct().withColumn("matched", F.lit(True)), "mid", "left")
+    return known_bad.withColumn("residue", (F.col("slots") > 0) | F.coalesce("matched", F.lit(False))).drop("matched", "mid")
 
 
 def judge_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -181,18 +181,24 @@ def test_long_error_pages_of_messages_that_no_short_page_holds(spark):
 
 
 def test_large_leaves_lose_no_message(spark):
+    """Cut into parts whose templates are clustered again, a leaf's messages share one verdict and none is lost."""
     words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
-    messages = [(f"the page {w} {v} is gone now", 1) for w in words for v in words[:9]] + [("other", 3), ("", 1)]
-    got = dict(map(tuple, residue.mine_templates(spark.createDataFrame(messages, "msg string, weight bigint"), leaf_rows=40).collect()))
-    assert set(got) == {m for m, _ in messages} and len(set(got.values())) <= 4 and got["other"] == "other"
+    texts = [f"the page {w} {v} is gone now" for w in words for v in words[:9]] + ["other", "", "the page is"]
+    messages = spark.createDataFrame([(k, t, 1, 1) for k, t in enumerate(texts)], "mid bigint, msg string, on_short bigint, n bigint")
+    gone = lambda t, short, n: n is not None and n > 1 and "gone" in t
+    for rows in (40, 2000):
+        got = residue.judged_messages(messages, gone, rows).collect()
+        assert sorted(r.mid for r in got) == list(range(len(texts) - 3))
+    every = residue.judged_messages(messages, lambda t, short, n: n is None, 40).collect()
+    assert sorted({r.mid for r in every}) == list(range(len(texts)))
 
 
 def test_filler_words_are_counted_over_all_messages(spark):
-    filler = [f"Lorem ipsum vesti torqu campi {w}" for w in ("dolor", "sat", "dolor")] + ["vesti alone"]
+    filler = [f"lorem ipsum vesti torqu campi {w}" for w in ("dolor", "sat", "dolor")] + ["vesti alone"]
     plain = [f"the ledger keeps one token and dolor {k}" for k in range(40)]
-    found = residue.filler_words(spark.createDataFrame([(t,) for t in filler + plain], "text string"))
+    found = residue.filler_words(spark.createDataFrame([(t,) for t in filler + plain], "msg string"))
     assert found == {"lorem", "ipsum", "vesti", "torqu", "campi"}
-    assert residue.filler_words(spark.createDataFrame([], "text string")) == set()
+    assert residue.filler_words(spark.createDataFrame([], "msg string")) == set()
 
 
 # near duplicates
