@@ -19,7 +19,7 @@ from lodestead.tables import persisted
 #: template its odds; templates are mined from the own text of all pages.
 SHORT_PAGE = 100
 #: Tokens of the fixed-depth tree below the token count, and share of equal tokens that joins a message to a template.
-DEPTH, ALIKE = 2, 0.6
+DEPTH, ALIKE = 4, 0.6
 #: Messages that the template classifier is fitted on, at most (about), of each kind.
 FIT_MESSAGES = 6000
 #: Messages of one leaf that are clustered together; the templates of a leaf's parts are clustered once more.

@@ -183,7 +183,7 @@ def test_long_error_pages_of_messages_that_no_short_page_holds(spark):
 def test_large_leaves_lose_no_message(spark):
     """Cut into parts whose templates are clustered again, a leaf's messages share one verdict and none is lost."""
     words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
-    texts = [f"the page {w} {v} is gone now" for w in words for v in words[:9]] + ["other", "", "the page is"]
+    texts = [f"the page of the {w} {v} is gone now" for w in words for v in words[:9]] + ["other", "", "the page is"]
     messages = spark.createDataFrame([(k, t, 1, 1) for k, t in enumerate(texts)], "mid bigint, msg string, on_short bigint, n bigint")
     gone = lambda t, short, n: n is not None and n > 1 and "gone" in t
     for rows in (40, 2000):
