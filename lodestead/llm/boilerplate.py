@@ -222,6 +222,8 @@ class Scorer:
         self.known: dict = {}
         self.seen: dict[tuple, tuple] = {}
         self.keys: dict[str, int] = {}
+        self.marks: dict[str, tuple] = {}
+        self.near: dict[tuple, float] = {}
 
     def text_key(self, text: str) -> int:
         """text_key, kept for short texts."""
@@ -234,27 +236,61 @@ class Scorer:
                 self.keys[text] = found
         return found
 
+    def _mark(self, tag: str) -> tuple[float, float, float]:
+        """Weights of a block's tags: its own, and those for the block after and before it."""
+        if not tag:
+            return 0.0, 0.0, 0.0
+        names, each = tag.split(" "), self.each
+        kind = _hash(" ".join(names[:2]))
+        return each[_feature(32, kind)] + sum([each[_feature(31, _hash(x))] for x in names[2:]]), each[_feature(42, kind)], each[_feature(52, kind)]
+
+    def _block(self, kind: str, level: int | None, text: str, site: str) -> tuple[float, int, int, float, float]:
+        """(weights by itself, hash of the whole text, hash of kind and length, weights for the block after and before it)."""
+        ids, single, whole, shaped = _forms(kind, level, text, site, self.known)
+        each = self.each
+        if len(ids) > FEW_WORDS:
+            total = float(self.weights[_word_features(ids)].sum())
+        else:
+            pairs = [(x * 0x85EBCA6B & 0xFFFFFFFF) ^ y for x, y in zip(ids, ids[1:])]
+            total = sum([each[_feature(11, x)] for x in ids]) + sum([each[_feature(12, x)] for x in pairs])
+        return total + sum([each[x] for x in single]), whole, shaped, each[_feature(41, whole)], each[_feature(51, whole)]
+
     def scores(self, blocks: list[tuple[str, int | None, str]], tags: list[str], site: str, title: str) -> np.ndarray:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        if len(self.seen) > REPEATED:
-            self.seen.clear()
-        own, each = [], self.each
+        """Of each block the sum of the weights of what features gives, looked up part by part."""
+        for kept, most in ((self.known, 300_000), (self.seen, REPEATED), (self.marks, REPEATED), (self.near, REPEATED)):
+            if len(kept) > most:
+                kept.clear()
+        own, marks, out, each = [], [], [], self.each
         for kind, level, text in blocks:
             key = (kind, level, text, site if site in text.lower() else "")
             found = self.seen.get(key)
             if found is None:
-                ids, single, whole, shaped = _forms(*key, self.known)
-                if len(ids) > FEW_WORDS:
-                    total = float(self.weights[_word_features(ids)].sum())
-                else:
-                    pairs = [(x * 0x85EBCA6B & 0xFFFFFFFF) ^ y for x, y in zip(ids, ids[1:])]
-                    total = sum([each[_feature(11, x)] for x in ids]) + sum([each[_feature(12, x)] for x in pairs])
-                found = (total + sum([each[x] for x in single]), whole, shaped)
+                found = self._block(*key)
                 if len(text) < SHORT:
                     self.seen[key] = found
             own.append(found)
-        return np.array([o[0] + sum([each[x] for x in f]) + self.bias for o, f in zip(own, _contexts(blocks, own, tags, title, site, self.known))])
+        for tag in tags:
+            mark = self.marks.get(tag)
+            if mark is None:
+                mark = self.marks[tag] = self._mark(tag)
+            marks.append(mark)
+        own_title, last = _hash(" ".join(masked_words(title, site))), len(own) - 1
+        first_edge, last_edge = each[_feature(43, 0)], each[_feature(53, 0)]
+        for i, (total, whole, shaped, _, _) in enumerate(own):
+            kind, level, _ = blocks[i]
+            total += self.bias + each[_feature(30, (whole == own_title) * 7 + (kind == "heading") * 3 + (level or 0) * 17)] + marks[i][0]
+            for k, at, n, outside in ((i - 1, 0, 40, first_edge), (i + 1, 1, 50, last_edge)):
+                if not 0 <= k <= last:
+                    total += outside
+                    continue
+                other = own[k]
+                key = (n, other[2], shaped)
+                near = self.near.get(key)
+                if near is None:
+                    near = self.near[key] = each[_feature(n, other[2] ^ shaped * 3)]
+                total += near + other[3 + at] + marks[k][1 + at]
+            out.append(total)
+        return np.array(out)
 
 
 def learn(rows: list[np.ndarray], content: list[bool], rounds: int = 40, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
