@@ -17,11 +17,12 @@ K = 5
 DIM = 64
 #: Vectors that the codebooks are fitted on, at most (about); every vector is indexed.
 FIT_ROWS = 20_000
-#: Centroids of a half: a function of the number of vectors within these limits.
+#: Centroids of a half: a function of the number of vectors within these limits. From MOST * MOST * 64 vectors on a cell
+#: holds more than 64 of them; what a query visits doesn't hang on that, since visits_for counts vectors.
 FEWEST, MOST = 8, 2048
-#: A tile of the grid of cells holds about TILE_ROWS vectors; one task compares at most PART_ROWS vectors of a tile with
-#: the queries of about ASK_ROWS vectors.
-TILE_ROWS, PART_ROWS, ASK_ROWS = 4096, 8192, 16384
+#: A tile of the grid of cells holds about TILE_ROWS vectors; one task compares about PART_ROWS vectors of a tile at most
+#: with about ASK_ROWS queries. How many queries a tile has is told from PROBES of them, for the size of tasks alone.
+TILE_ROWS, PART_ROWS, ASK_ROWS, PROBES = 32768, 32768, 32768, 2000
 #: Groups of centroids of a half, at least, whose pairs are the tiles.
 FEWEST_GROUPS = 4
 #: Vectors that a query visits, at least; of larger tables WANTED_ROOT times the square root of the number of vectors.
@@ -133,6 +134,15 @@ class Codebooks:
         one, two = (self._grouped(c, groups) for c in (self.first, self.second))
         self.tile = (one[:, None] * groups + two[None, :]).ravel().astype(np.int32)
 
+    def asks(self, probes: np.ndarray, filled: np.ndarray, wanted: int) -> np.ndarray:
+        """Share of the probes that visit each tile."""
+        seen = np.zeros(int(self.tile.max()) + 1)
+        for s in range(0, len(probes), 1024):
+            q, cell = traverse_all(*self.distances(probes[s : s + 1024]), filled, wanted)
+            pairs = np.unique(q * len(seen) + self.tile[cell])
+            seen += np.bincount(pairs % len(seen), minlength=len(seen))
+        return seen / max(1, len(probes))
+
     @staticmethod
     def _grouped(centroids: np.ndarray, groups: int) -> np.ndarray:
         means = kmeans(centroids, groups)
@@ -160,8 +170,8 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * small.shape[1]), len(small), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
 
 
-def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Codebooks | None:
-    """Codebooks from about fit_rows vectors, chosen by the hash of the id; None if there are no vectors."""
+def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> tuple[Codebooks, np.ndarray] | None:
+    """Codebooks from about fit_rows vectors, chosen by the hash of the id, and PROBES of these; None if there are no vectors."""
     step = max(1, -(-n // fit_rows))
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vector").toArrow()
     if not rows.num_rows:
@@ -170,17 +180,27 @@ def fit(vectors: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Codebooks | Non
         return None
     x = np.stack(rows.column(0).to_numpy(zero_copy_only=False)).astype(np.float32)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return Codebooks(x[np.lexsort(x.T)], centroids_for(n), max(FEWEST_GROUPS, round((n / TILE_ROWS) ** 0.5)))
+    x = x[np.lexsort(x.T)]
+    return Codebooks(x, centroids_for(n), max(FEWEST_GROUPS, round((n / TILE_ROWS) ** 0.5))), x[:: max(1, len(x) // PROBES)]
+
+
+def _key(seed: int):
+    return F.xxhash64("id", F.lit(seed))
 
 
-def once(vectors: DataFrame) -> DataFrame:
-    """vectors (id, vector) without repeated rows; only the rows of ids that occur more than once are shuffled as a whole."""
-    keyed = vectors.withColumn("key", F.xxhash64("id"))
+def once(vectors: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """vectors (id, vector) without repeated rows, and the first seed from `seed` on by which _key tells all ids apart.
+
+    Only the rows whose key occurs more than once are shuffled as a whole.
+    """
+    keyed = vectors.withColumn("key", _key(seed))
     repeated = persisted(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "p6-repeated")
     if repeated.isEmpty():
-        return vectors
-    rows = persisted(keyed.join(repeated, "key", "left_semi").select("id", "vector").distinct(), "p6-once")
-    return keyed.join(repeated, "key", "left_anti").select("id", "vector").unionByName(rows)
+        return vectors, seed
+    rows = persisted(keyed.join(repeated, "key", "left_semi").distinct(), "p6-once")
+    if not rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").isEmpty():
+        return once(vectors, seed + 1)
+    return keyed.join(repeated, "key", "left_anti").select("id", "vector").unionByName(rows.select("id", "vector")), seed
 
 
 def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -194,10 +214,10 @@ def crowd(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             if batch.num_rows:
                 x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), DIRECTION) + 0.0  # no -0.0
-                copy = np.array([xxhash.xxh64_intdigest(v) for v in x], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(copy), batch.column("id")], names=["copy", "id"])
+                copy = pa.array([xxhash.xxh3_128_digest(v) for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([copy, batch.column("id")], names=["copy", "id"])
 
-    members = vectors.select("id", "vector").mapInArrow(direction, "copy bigint, id string").distinct()
+    members = vectors.select("id", "vector").mapInArrow(direction, "copy binary, id string").distinct()
     many = members.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("copy")
     crowded = persisted(members.join(many, "copy", "left_semi"), "p6-crowded")
     # row_number under a limit keeps k + 1 rows of a group before the shuffle
@@ -211,43 +231,50 @@ def nearest(
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar other ids of every query id, ties by id.
 
-    vectors, queries: (id, vector) as from usable_vectors; queries None: all vectors. `wanted` vectors (None: visits_for
+    vectors, queries: (id, vector) as from usable_vectors, queries being rows of vectors; None: all of them. `wanted` vectors (None: visits_for
     their number) are visited per query at least, cell by cell of the multi-index in order of summed distance. With a floor, only neighbours of at
     least that cosine are returned. Every visited vector within 2 * COARSE of the k-th is kept until exact cosines decide.
     exact: similarities are those of the vectors themselves; else only those near the floor are, and those that may or may
     not be among the k, and the others are within COARSE of them. An id never pairs with itself; repeated rows count once.
     An empty table has no neighbours.
     """
-    vectors, queries = once(vectors), None if queries is None else once(queries)
+    vectors, seed = once(vectors)
+    queries = None if queries is None else once(queries, seed)[0]
     n = vectors.count()
     wanted = wanted or visits_for(n)
-    books = fit(vectors, n, fit_rows)
-    if books is None:
+    fitted = fit(vectors, n, fit_rows)
+    if fitted is None:
         return vectors.sparkSession.createDataFrame([], "id string, neighbour string, similarity double, place int")
     excess, first = crowd(vectors, k)
     excess = persisted(excess, "p6-excess")
     crowded = not excess.isEmpty()
     core = vectors.join(excess.select("id"), "id", "left_anti") if crowded else vectors
-    k2 = len(books.second)
+    books, probes = fitted
+    k2, context = len(books.second), vectors.sparkSession.sparkContext
+    shared_books = context.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _unit(batch.column("vector"))
-                c1, c2 = books.cells(x)
+                c1, c2 = shared_books.value.cells(x)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((c1 * k2 + c2).astype(np.int32)), _bytes(x)], names=["key", "cell", "v"])
 
-    keyed = core.select(F.xxhash64("id").alias("key"), "vector")
+    keyed = core.select(_key(seed).alias("key"), "vector")
     entries = persisted(keyed.mapInArrow(place, "key bigint, cell int, v binary"), "p6-entries")
-    filled = np.zeros((len(books.first), k2), np.int32)
-    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST * MOST cells
-        filled[divmod(r.cell, k2)] = r.n
-    # rows of a tile, and from them its tasks: parts of its vectors times parts of its queries
+    filled = np.zeros(len(books.first) * k2, np.int32)
+    counts = entries.groupBy("cell").agg(F.count("*").cast("int").alias("n")).toArrow()  # two numbers of at most MOST * MOST cells
+    filled[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    filled = filled.reshape(-1, k2)
+    # the tasks of a tile: parts of its vectors times parts of its queries
     sizes = np.bincount(books.tile, filled.ravel(), minlength=int(books.tile.max()) + 1)
-    parts, salts = (np.maximum(1, np.ceil(sizes / r)).astype(np.int32) for r in (PART_ROWS, ASK_ROWS))
+    asks = books.asks(probes, filled, wanted) * (n if queries is None else queries.count())
+    parts, salts = (np.maximum(1, np.ceil(r / most)).astype(np.int32) for r, most in ((sizes, PART_ROWS), (asks, ASK_ROWS)))
+    shared = context.broadcast((filled, parts, salts))
 
     def tasks_of(tile: np.ndarray, key: np.ndarray, asks: bool) -> tuple[np.ndarray, np.ndarray]:
         """(row, task) of the rows with these tiles and keys: a vector goes to one part and all salts, a query the other way."""
+        _, parts, salts = shared.value
         fixed, spread = (salts[tile], parts[tile]) if asks else (parts[tile], salts[tile])
         own = (key.view(np.uint64) >> np.uint64(17)) % fixed.astype(np.uint64)
         row = np.repeat(np.arange(len(tile)), spread)
@@ -258,7 +285,7 @@ def nearest(
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = batch.column("cell").to_numpy()
-            row, task = tasks_of(books.tile[cell], batch.column("key").to_numpy(), False)
+            row, task = tasks_of(shared_books.value.tile[cell], batch.column("key").to_numpy(), False)
             taken = pa.array(row)
             lists = pa.array([None] * len(row), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -270,7 +297,8 @@ def nearest(
             for s in range(0, whole.num_rows, 1024):
                 batch = whole.slice(s, 1024)
                 x = _unit(batch.column("vector"))
-                q, cell = traverse_all(*books.distances(x), filled, wanted)
+                books = shared_books.value
+                q, cell = traverse_all(*books.distances(x), shared.value[0], wanted)
                 tile = books.tile[cell]
                 order = np.lexsort((cell, tile, q))
                 q, cell, tile = q[order], cell[order].astype(np.int32), tile[order]
@@ -286,7 +314,7 @@ def nearest(
                     names=["task", "key", "cell", "cells", "v"],
                 )
 
-    asked = keyed if queries is None else (queries.join(excess.select("id"), "id", "left_anti") if crowded else queries).select(F.xxhash64("id").alias("key"), "vector")
+    asked = keyed if queries is None else (queries.join(excess.select("id"), "id", "left_anti") if crowded else queries).select(_key(seed).alias("key"), "vector")
     schema = "task bigint, key bigint, cell int, cells binary, v binary"
     entry_rows, ask_rows = entries.mapInArrow(offer, schema), asked.mapInArrow(ask, schema)
     band, near, queries_are_all = 2 * COARSE, floor - COARSE, queries is None
@@ -329,8 +357,8 @@ def nearest(
                     if near <= -1 and len(slot) > len(rows) * len(local) / 8:  # most cells are asked for: one product under a mask
                         asked_for = np.zeros((len(rows), len(local)), bool)
                         asked_for[of, slot] = True
-                        for z in range(0, len(rows), 512):
-                            sims = np.where(asked_for[z : z + 512][:, slot_of], y[z : z + 512] @ x.T, np.float32(-2))
+                        for z in range(0, len(rows), 256):
+                            sims = np.where(asked_for[z : z + 256][:, slot_of], y[z : z + 256] @ x.T, np.float32(-2))
                             p, r = np.nonzero((sims > -2) & (sims >= kth(sims) - band))
                             found_q.append(rows[z + p])
                             found_x.append(have[r])
@@ -377,8 +405,8 @@ def nearest(
     found = persisted(found.select("qkey", "xkey", "similarity", (F.coalesce(tied, F.lit(False)) | (F.abs(sim - F.lit(floor)) <= COARSE)).alias("doubtful")), "p6-found")
     doubtful = F.lit(True) if exact else F.col("doubtful")
     sure = found.where(~doubtful & (F.col("similarity") >= floor)).select("qkey", "xkey", "similarity")
-    found = persisted(sure.unionByName(_measured(core, found.where(doubtful), floor)), "p6-near")
-    names = core.select(F.xxhash64("id").alias("key"), "id").distinct()
+    found = persisted(sure.unionByName(_measured(core, found.where(doubtful), floor, seed)), "p6-near")
+    names = core.select(_key(seed).alias("key"), "id").distinct()
     used = found.select(F.col("qkey").alias("key")).union(found.select("xkey")).distinct()
     names = persisted(names.join(used, "key", "left_semi"), "p6-names")
     measured = found.join(names.withColumnRenamed("key", "qkey"), "qkey").join(names.select(F.col("key").alias("xkey"), F.col("id").alias("neighbour")), "xkey")
@@ -392,12 +420,12 @@ def nearest(
     return ranked.where(F.col("place") <= k).select("id", "neighbour", "similarity", "place")
 
 
-def _measured(core: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
+def _measured(core: DataFrame, pairs: DataFrame, floor: float, seed: int) -> DataFrame:
     """pairs (qkey, xkey) with their exact similarity, without those below the floor; each unordered pair is measured once."""
     pairs = persisted(pairs.select("qkey", "xkey"), "p6-doubtful")
     unordered = pairs.select(F.least("qkey", "xkey").alias("low"), F.greatest("qkey", "xkey").alias("high")).distinct()
     used = persisted(pairs.select(F.col("qkey").alias("key")).union(pairs.select("xkey")).distinct(), "p6-used")
-    own = persisted(core.select(F.xxhash64("id").alias("key"), "vector").join(used, "key", "left_semi").dropDuplicates(["key"]), "p6-exact")
+    own = persisted(core.select(_key(seed).alias("key"), "vector").join(used, "key", "left_semi").dropDuplicates(["key"]), "p6-exact")
     both = unordered.join(own.select(F.col("key").alias("high"), F.col("vector").alias("y")), "high").join(own.select(F.col("key").alias("low"), F.col("vector").alias("x")), "low")
 
     def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

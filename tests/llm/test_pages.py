@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestead.llm import boilerplate, grouping, near_duplicates, neighbours, residue
 
@@ -460,7 +461,7 @@ def test_repeated_rows_count_once(spark):
     s = y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
     np.fill_diagonal(s, -2)
     assert got == {(f"v{i:04}", p + 1): f"v{j:04}" for i in range(80) for p, j in enumerate(np.argsort(-s[i], kind="stable")[:5])}
-    assert sorted(map(tuple, neighbours.once(repeated).select("id").collect())) == [(i,) for i, _ in rows]
+    assert sorted(map(tuple, neighbours.once(repeated)[0].select("id").collect())) == [(i,) for i, _ in rows]
 
 
 def test_no_vectors(spark):
@@ -468,3 +469,11 @@ def test_no_vectors(spark):
     assert neighbours.nearest(neighbours.usable_vectors(table)).count() == 0
     single = spark.createDataFrame([("a", [1.0] * 64)], "id string, vector array<float>")
     assert neighbours.neighbour_pairs(neighbours.usable_vectors(single)).count() == 0
+
+
+def test_ids_of_one_key_get_another_seed(spark, monkeypatch):
+    plain = neighbours._key
+    monkeypatch.setattr(neighbours, "_key", lambda seed: plain(seed) if seed == 2 else F.lit(seed).cast("bigint"))
+    rows = [(i, [1.0, float(k)]) for k, i in enumerate("abca")]
+    got, seed = neighbours.once(spark.createDataFrame(rows, "id string, vector array<float>"))
+    assert seed == 2 and sorted((r.id, r.vector[1]) for r in got.collect()) == [("a", 0.0), ("a", 3.0), ("b", 1.0), ("c", 2.0)]
