@@ -22,9 +22,11 @@ FIT_ROWS = 20_000
 FEWEST, MOST = 8, 2048
 #: A tile of the grid of cells holds about TILE_ROWS vectors; one task compares about PART_ROWS vectors of a tile at most
 #: with about ASK_ROWS queries. How many queries a tile has is told from PROBES of them, for the size of tasks alone.
-TILE_ROWS, PART_ROWS, ASK_ROWS, PROBES = 32768, 32768, 32768, 2000
+TILE_ROWS, PART_ROWS, ASK_ROWS, PROBES = 262_144, 262_144, 262_144, 2000
+#: Cosines that a task holds at a time.
+PRODUCTS = 8_000_000
 #: Groups of centroids of a half, at least, whose pairs are the tiles.
-FEWEST_GROUPS = 4
+FEWEST_GROUPS = 2
 #: Vectors that a query visits, at least; of larger tables WANTED_ROOT times the square root of the number of vectors.
 WANTED, WANTED_ROOT = 2048, 4
 #: Vectors are compared as 16-bit numbers, whose cosines are within COARSE of the exact ones: rounding turns a vector of DIM
@@ -357,8 +359,9 @@ def nearest(
                     if near <= -1 and len(slot) > len(rows) * len(local) / 8:  # most cells are asked for: one product under a mask
                         asked_for = np.zeros((len(rows), len(local)), bool)
                         asked_for[of, slot] = True
-                        for z in range(0, len(rows), 256):
-                            sims = np.where(asked_for[z : z + 256][:, slot_of], y[z : z + 256] @ x.T, np.float32(-2))
+                        step = max(1, PRODUCTS // len(x))
+                        for z in range(0, len(rows), step):
+                            sims = np.where(asked_for[z : z + step][:, slot_of], y[z : z + step] @ x.T, np.float32(-2))
                             p, r = np.nonzero((sims > -2) & (sims >= kth(sims) - band))
                             found_q.append(rows[z + p])
                             found_x.append(have[r])
@@ -366,15 +369,18 @@ def nearest(
                         slot = slot[:0]
                     ends = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)])) if len(slot) else np.array([0])
                     for f, t in zip(ends[:-1], ends[1:]):
-                        i, lo, hi = of[f:t], starts[slot[f]], starts[slot[f] + 1]
-                        sims = y[i] @ x[lo:hi].T
-                        if near > -1:
-                            p, r = np.nonzero(sims >= near)
-                        else:
-                            p, r = np.nonzero(sims >= kth(sims) - band)
-                        found_q.append(rows[i[p]])
-                        found_x.append(have[lo + r])
-                        found_s.append(sims[p, r])
+                        lo, hi = starts[slot[f]], starts[slot[f] + 1]
+                        step = max(1, PRODUCTS // int(hi - lo))
+                        for z in range(f, t, step):
+                            i = of[z : min(t, z + step)]
+                            sims = y[i] @ x[lo:hi].T
+                            hit = sims >= near if near > -1 else sims >= kth(sims) - band
+                            if near > -1 and np.count_nonzero(hit) > 4 * k * len(i):  # more than a few of a cell: its best ones
+                                hit &= sims >= kth(sims) - band
+                            p, r = np.nonzero(hit)
+                            found_q.append(rows[i[p]])
+                            found_x.append(have[lo + r])
+                            found_s.append(sims[p, r])
                     if not found_q:
                         continue
                     q, x_at, sim = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
