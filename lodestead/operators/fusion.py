@@ -1,5 +1,7 @@
 """Reciprocal rank fusion and hybrid search."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,18 @@ def candidates_for(limit: int) -> int:
 
 
 def hybrid(
-    texts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 8, candidates: int | None = None, weights: tuple[float, float] = (1.0, 1.0)
+    texts: DataFrame | None, vectors: DataFrame, queries: DataFrame, limit: int = 8, candidates: int | None = None, weights: tuple[float, float] = (1.0, 1.0),
+    ranked: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, id, score, dense, lexical, place) for queries(query_id string, text, vector).
 
     Both retrievers give their best candidates, which are fused. A hit that only one of them has reports 0 for the
-    other, whatever its true score is.
+    other, whatever its true score is. ranked(queries, depth) ranks by words where there is an index; else texts are read.
     """
     depth = candidates or candidates_for(limit)
     near = dense.search_all(vectors, queries.where("vector is not null").select("query_id", "vector"), depth)
-    words = lexical.bm25(texts, queries.select("query_id", "text"), depth)
+    asked = queries.select("query_id", "text")
+    words = ranked(asked, depth) if ranked else lexical.bm25(texts, asked, depth)
     fused = fuse([near, words], list(weights), limit)
     joined = fused.join(near.select("query_id", "id", "dense"), ["query_id", "id"], "left").join(words.select("query_id", "id", F.col("score").alias("lexical")), ["query_id", "id"], "left")
     zero = F.lit(0.0)

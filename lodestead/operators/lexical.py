@@ -9,6 +9,8 @@ from lodestead.functions.text import tokenize
 K1, B = 1.2, 0.75
 #: Query terms up to which they are sent to every executor; more are joined by shuffling.
 BROADCAST_TERMS = 200_000
+#: Query terms up to which a scan of stored postings filters by them.
+FILTER_TERMS = 500
 
 
 def unique_rows(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,6 +67,25 @@ def bm25(table: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     stats = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     found = tokenized.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(at_hand(terms.select("term").distinct()), "term", "left_semi")
     index = found.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _scored(index, stats, terms, at_hand, k)
+
+
+def bm25_index(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
+    """bm25 on stored postings(term, id, tf, dl) and one row of stats (n, avgdl): nothing is tokenised but the queries.
+
+    The distinct terms of few queries go into the scan's filter; those of many meet the postings in a join.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    wanted = [r.term for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+    if len(wanted) <= FILTER_TERMS:
+        return _scored(postings.where(F.col("term").isin(wanted)), stats, terms, F.broadcast, k)
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    at_hand = F.broadcast if few else lambda df: df
+    return _scored(postings.join(at_hand(terms.select("term").distinct()), "term", "left_semi"), stats, terms, at_hand, k)
+
+
+def _scored(index: DataFrame, stats: DataFrame, terms: DataFrame, at_hand, k: int | None) -> DataFrame:
+    """(query_id, id, score, place) of the query terms on an index(term, id, tf, dl) that holds all postings of those."""
     weighted = document_frequencies(index).crossJoin(F.broadcast(stats)).select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl").join(terms, "term")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

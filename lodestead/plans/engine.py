@@ -146,7 +146,7 @@ class Engine:
             if n:
                 self._store_pages(pages)
             if bad:
-                self.store.write(skipped=self.store.table("skipped").union(failed).distinct())
+                self.store.add_skipped(failed)
             indexed, skipped = indexed + n, skipped + bad
             self.notify("enrich:progress", indexed=indexed, skipped=skipped)
             pages.unpersist()
@@ -177,9 +177,8 @@ class Engine:
 
     def _hits(self, name: str, query: DataFrame, limit: int) -> DataFrame:
         rows = self.store.table(name)
-        texts = rows.select("id", "text") if name == "chunks" else rows.select(F.col("url").alias("id"), text.route_text().alias("text"))
         vectors = rows.select("id" if name == "chunks" else F.col("url").alias("id"), "vector").where("vector is not null")
-        return fusion.hybrid(texts, vectors, query, limit)
+        return fusion.hybrid(None, vectors, query, limit, ranked=lambda asked, depth: self.store.bm25(name, asked, depth))
 
     def _citations(self, query: DataFrame) -> list[dict]:
         hits = fusion.grounded(self._hits("chunks", query, PASSAGES))

@@ -147,6 +147,44 @@ def test_store(spark, tmp_path):
     assert s.stats()["manifest"] == 0 and s.meta()["cacheKey"] == "one"
 
 
+def test_upsert_writes_only_its_buckets(spark, tmp_path):
+    from lodestead.operators import lexical
+
+    s = Store(spark, str(tmp_path), "k", buckets=8)
+    made = lambda us, word: (spark.createDataFrame([(u, "t") for u in us], "url string, title string"), spark.createDataFrame([(f"{u}#0", u, 0, f"{word} text of {u}", "b", [1.0]) for u in us], "id string, url string, chunk_index int, text string, body string, vector array<float>"))
+    urls = [f"u{i}" for i in range(40)]
+    s.put_pages(*made(urls, "first"))
+    before = s.meta()["tables"]
+    files = lambda: {str(p) for p in tmp_path.rglob("*.parquet")}
+    old = files()
+    s.put_pages(*made(["u3"], "second"))
+    after, written = s.meta()["tables"], files() - old
+    for name in ("pages", "chunks", "chunk_postings"):
+        assert sum(before[name][b] != after[name][b] for b in before[name]) == 1
+    assert len(written) == 3 and old <= files()  # readers may still hold the old version
+    assert s.stats() == {"pages": 40, "chunks": 40, "manifest": 0}
+    asked = spark.createDataFrame([("q", "second text"), ("r", "first u7"), ("n", "nowhere")], "query_id string, text string")
+    want = lexical.bm25(s.table("chunks").select("id", "text"), asked, 5)
+    key = lambda df: sorted((r.query_id, r.place, r.id, round(r.score, 9)) for r in df.collect())
+    assert key(s.bm25("chunks", asked, 5)) == key(want) and ("r", 1, "u7#0") in {x[:3] for x in key(want)}
+    s.grace = -1
+    s.delete_pages(spark.createDataFrame([("u3",)], "url string"))
+    assert s.stats()["chunks"] == 39 and not s.meta()["left"] and not old <= files()
+    assert key(s.bm25("chunks", asked, 5)) == key(lexical.bm25(s.table("chunks").select("id", "text"), asked, 5))
+
+
+def test_locks_are_kept_and_left_ones_taken_over(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "k")
+    lock = s._path(f"{s.root}/_lock")
+    s.fs.createNewFile(lock)
+    with pytest.raises(RuntimeError, match="another writer"):
+        s.set_meta(revalidatedAt=1)
+    s.lock_age = -1
+    s.set_meta(backfill={"completedAt": 5})
+    s.set_meta(backfill={"startedAt": 4})
+    assert s.meta()["backfill"] == {"startedAt": 4, "completedAt": 5} and not s.fs.exists(lock)
+
+
 def test_stream(spark, tmp_path):
     schema = "fetch_id bigint, url string, status int, html string, not_modified boolean, etag string, last_modified string, fetched_at bigint, ingested_at timestamp"
     row = lambda i, u, s, h, at: (i, u, s, h, False, None, None, at, None)
