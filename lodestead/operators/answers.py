@@ -1,9 +1,10 @@
 """Prompts and answers: packing of sources, cleaning and checking of what a generator wrote, verdicts."""
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,12 @@ SYSTEM_PROMPT = (
     f"If no source speaks of the topic, reply with {NOT_FOUND} and nothing else."
 )
 
+#: A question answered as asked for: the example that goes before every question.
+EXAMPLE = (
+    "Sources:\n\n[1] Opening hours > Visits\nThe reading room is open from 10 to 18 on weekdays and closed in August.\n\nQuestion: when can I visit the reading room?",
+    "The reading room is open on weekdays from 10 to 18 [1].",
+)
+
 
 def packed_sources(citations: Column | str, max_sources: int = MAX_SOURCES, max_chars: int = MAX_CHARS) -> Column:
     """Positions of the citations (structs with body) that go into a prompt: the first always, others while they fit."""
@@ -41,6 +48,28 @@ def prompt(query: Column | str, citations: Column | str) -> Column:
     return F.concat(F.lit("Sources:\n\n"), F.array_join(F.transform(chosen, shown), "\n\n"), F.lit("\n\nQuestion: "), col(query))
 
 
+def messages(query: Column | str, citations: Column | str) -> Column:
+    """What a generator gets: the system prompt, the example and its answer, the question with its sources, as structs (role, content)."""
+    turns = [("system", F.lit(SYSTEM_PROMPT)), ("user", F.lit(EXAMPLE[0])), ("assistant", F.lit(EXAMPLE[1])), ("user", prompt(query, citations))]
+    return F.array(*(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns))
+
+
+def generated(rows: DataFrame, generate: Callable[[list[tuple[str, str]]], str]) -> DataFrame:
+    """(query_id, raw) of rows(query_id, messages), written on the executors in Arrow batches; raw is null where generate fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = []
+            for turns in pdf.messages:
+                try:
+                    raw.append(generate([(t["role"], t["content"]) for t in turns]))
+                except Exception:  # noqa: BLE001
+                    raw.append(None)
+            yield pd.DataFrame({"query_id": pdf.query_id, "raw": raw})
+
+    return rows.select("query_id", "messages").mapInPandas(run, "query_id string, raw string")
+
+
 def without_reasoning(raw: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(col(raw), r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""), r"(?U)^\s+|\s+$", "")
 

@@ -4,8 +4,10 @@ Fetching, embedding and writing are hooks: a fetcher maps a table of urls with v
 texts to vectors, a generator prompts to raw answers. What they need beyond Spark is theirs.
 """
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,13 +18,14 @@ from lodestead.embedding import Embedder, embed, embed_one, hashed_words
 from lodestead.functions import chunking, html, text
 from lodestead.functions.urls import slug_title, url_segments
 from lodestead.operators import answers, fusion, index, site, topics
+from lodestead.plans.events import Events
 from lodestead.plans.store import Store
 from lodestead.tables import site_of
 
 #: urls(url, etag, last_modified) -> (url, status, html, not_modified, etag, last_modified, fetched_at)
 Fetcher = Callable[[DataFrame], DataFrame]
-#: (system prompt, user prompt) -> raw answer
-Generator = Callable[[str, str], str]
+#: messages (role, content) -> raw answer
+Generator = Callable[[list[tuple[str, str]]], str]
 
 #: Passages of an answer, pages fetched for a question, pages of a backfill, suggestions of a refusal.
 PASSAGES, MAX_FETCH, BACKFILL, SUGGESTIONS = 6, 3, 25, 3
@@ -83,14 +86,17 @@ class Engine:
         key = spark.range(1).select(index.cache_key(F.lit(origin), F.lit(hooks.embedder_id), F.lit(site_version).cast("string"))).first()[0]
         self.store = Store(spark, folder, key)
         self.rules = site.rules_for(spark, hooks.robots).cache()
+        self.events = Events()
+        self._running: Future | None = None
+        self._guard, self._cancelled = threading.Lock(), threading.Event()
 
     def notify(self, event: str, **data) -> None:
-        """Tells the listeners; one that fails doesn't keep the others from hearing."""
+        """Tells the listeners of the hooks and of the engine; one that fails doesn't keep the others from hearing."""
+        told = Events()
         for listen in list(self.hooks.listeners):
-            try:
-                listen(event, data)
-            except Exception:  # noqa: BLE001
-                continue
+            told.on_any(listen)
+        told.emit(event, data)
+        self.events.emit(event, data)
 
     # prepare
 
@@ -134,9 +140,32 @@ class Engine:
         """Reads pending pages, the most in need first, until `budget` were read, none is left, or cancelled() says so.
 
         Pages that give no text are skipped for good and don't count against the budget. What is stored after each batch
-        is where the next call goes on.
+        is where the next call goes on. A call during another one waits for that one's result; cancel_enrichment ends it
+        after the batch in hand.
         """
+        with self._guard:
+            running, own = self._running, None
+            if running is None:
+                own = self._running = Future()
+                self._cancelled.clear()
+        if own is None:
+            return running.result()
+        try:
+            own.set_result(self._enrich(budget, batch, lambda: self._cancelled.is_set() or cancelled()))
+        except BaseException as e:
+            own.set_exception(e)
+        finally:
+            with self._guard:
+                self._running = None
+        return own.result()
+
+    def cancel_enrichment(self) -> None:
+        self._cancelled.set()
+
+    def _enrich(self, budget: int, batch: int, cancelled: Callable[[], bool]) -> dict[str, int]:
         indexed = skipped = 0
+        self.store.set_meta(backfill={"startedAt": self.hooks.now(), "completedAt": None})
+        self.notify("index:start", source="backfill", budget=budget)
         while indexed < budget and not cancelled():
             urls = self.pending().orderBy("place").limit(min(batch, budget - indexed)).select("url").cache()
             if urls.isEmpty():
@@ -152,7 +181,9 @@ class Engine:
             pages.unpersist()
             urls.unpersist()
         remaining = self.pending().count()
-        self.store.set_meta(backfill={"completedAt": None if remaining else self.hooks.now()})
+        if not remaining:
+            self.store.set_meta(backfill={"completedAt": self.hooks.now()})
+        self.notify("enrich:done", indexed=indexed, skipped=skipped, remaining=remaining, completed=not remaining, cancelled=cancelled())
         return {"indexed": indexed, "skipped": skipped, "remaining": remaining}
 
     def revalidate(self) -> dict[str, int]:
@@ -238,10 +269,10 @@ class Engine:
             return result
         shape = "query string, citations array<struct<id:string,url:string,title:string,heading_path:array<string>,body:string,score:double,dense:double>>"
         rows = self.spark.createDataFrame([(result.query, [tuple(c[k] for k in ("id", "url", "title", "heading_path", "body", "score", "dense")) for c in result.citations])], shape)
-        packed = rows.select(answers.prompt("query", "citations").alias("user"), answers.packed_sources("citations").alias("taken")).first()
+        packed = rows.select(answers.messages("query", "citations").alias("messages"), answers.packed_sources("citations").alias("taken")).first()
         sources = [result.citations[i] for i in packed.taken]
         try:
-            raw = self.hooks.generate(answers.SYSTEM_PROMPT, packed.user)
+            raw = self.hooks.generate([(m.role, m.content) for m in packed.messages])
         except Exception:  # noqa: BLE001
             return result
         judged = self.spark.createDataFrame([(raw, "\n".join(c["body"] for c in sources))], "raw string, bodies string")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestead.plans.engine import Engine, Hooks, table_fetcher
+from lodestead.plans.events import Events
 from lodestead.plans.store import Store
 from lodestead.streaming.ingest import merge_batch, start_ingest, fetched_stream
 
@@ -102,18 +103,78 @@ def test_timeouts_leave_what_is_stored(spark, engine):
 
 
 def test_prose_is_checked(engine):
-    engine.hooks.generate = lambda system, user: "Forty dollars [1]."
+    engine.hooks.generate = lambda messages: "Forty dollars [1]."
     assert engine.ask("team plan cost dollars").answer == "Forty dollars [1]."
-    engine.hooks.generate = lambda system, user: "It is 4711 dollars [1]."
+    engine.hooks.generate = lambda messages: "It is 4711 dollars [1]."
     assert engine.ask("team plan cost dollars").answer is None
 
-    def fails(system, user):
+    def fails(messages):
         raise RuntimeError
 
     engine.hooks.generate = fails
     assert engine.ask("team plan cost dollars").grounded
 
 
+def test_messages_hold_an_example(engine):
+    heard = []
+    engine.hooks.generate = lambda messages: heard.append(messages) or "Forty dollars [1]."
+    engine.ask("team plan cost dollars")
+    assert [r for r, _ in heard[0]] == ["system", "user", "assistant", "user"]
+    assert heard[0][1][1].startswith("Sources:\n\n[1] ") and heard[0][3][1].endswith("Question: team plan cost dollars") and "forty" in heard[0][3][1]
+
+
+def test_batches_of_answers(spark):
+    from lodestead.operators import answers
+
+    def write(messages):
+        if "bad" in messages[-1][1]:
+            raise RuntimeError
+        return f"{len(messages)} turns"
+
+    rows = spark.createDataFrame([("a", "good", [("t", ["h"], "body")]), ("b", "bad", [])], "query_id string, text string, citations array<struct<title:string,heading_path:array<string>,body:string>>")
+    got = answers.generated(rows.select("query_id", answers.messages("text", "citations").alias("messages")), write)
+    assert dict(map(tuple, got.collect())) == {"a": "4 turns", "b": None}
+
+
+def test_events():
+    e, heard = Events(), []
+    off = e.on("x", lambda d: heard.append(("x", d["n"])))
+    e.once("x", lambda d: heard.append(("once", d["n"])))
+    e.on("x", lambda d: 1 / 0)
+    away = e.on_any(lambda name, d: heard.append((name, "any")))
+    e.emit("x", {"n": 1})
+    away()
+    e.emit("x", {"n": 2})
+    off()
+    e.emit("x", {"n": 3})
+    assert heard == [("x", 1), ("once", 1), ("x", "any"), ("x", 2)]
+    e.clear()
+    e.emit("x", {"n": 4})
+    assert len(heard) == 4
+
+
+def test_one_enrichment_at_a_time(engine):
+    import threading
+
+    results, started = [], threading.Event()
+
+    def listen(event, data):
+        if event == "index:start":
+            started.set()
+        if event == "enrich:progress":
+            engine.cancel_enrichment()
+
+    engine.hooks.listeners.append(listen)
+    first = threading.Thread(target=lambda: results.append(engine.enrich(10, batch=1)))
+    first.start()
+    started.wait(60)
+    results.append(engine.enrich(10, batch=1))
+    first.join()
+    assert results[0] == results[1] and results[0]["remaining"] == 3 and engine.stats()["pages"] <= 1
+    kept = engine.store.meta()["backfill"]
+    assert kept["startedAt"] == 1_000 and kept["completedAt"] is None
+
+
 def test_events_reach_all_listeners(engine):
     heard = []
     engine.hooks.listeners += [lambda e, d: 1 / 0, lambda e, d: heard.append(e)]
