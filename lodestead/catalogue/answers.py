@@ -110,9 +110,23 @@ def prompt_pack(spark: SparkSession, d: str) -> DataFrame:
     return _cited(spark, d).select("query_id", F.array_join(taken.cast("array<string>"), ",").alias("taken"), chars.alias("chars"))
 
 
-@R.query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SHOWN = """list_transform(range(1, len(r.taken) + 1), lambda k: '[' || k || '] ' || array_to_string(list_filter(list_concat([bodies[r.taken[k] + 1].id], coalesce(bodies[r.taken[k] + 1].h, [])), lambda h: h <> ''), ' > ')
+ || chr(10) || case when length(bodies[r.taken[k] + 1].b) > 900 then regexp_replace(bodies[r.taken[k] + 1].b[1:900], '\\s+$', '') || '…' else bodies[r.taken[k] + 1].b end)"""
+
+
+@R.query(f"""{_PACKED}, bodies as (select s.query_id, list(struct_pack(id := s.id, h := c.c.h, b := coalesce(c.c.b, '')) order by s.place) as bodies from scored s join uchunks c on c.id = s.id where s.place <= 6 group by 1),
+questions as (select distinct item_id as query_id, query as text from golden_cases where query is not null),
+shown as (select query_id, 'Sources:' || chr(10) || chr(10) || array_to_string({_SHOWN}, chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || text as user from packed join bodies using (query_id) join questions using (query_id))
+select query_id, unnest([0, 1, 2, 3]) as turn, unnest(['system', 'user', 'assistant', 'user']) as role,
+ unnest([{_quoted(answers.SYSTEM_PROMPT)}, {_quoted(answers.EXAMPLE[0])}, {_quoted(answers.EXAMPLE[1])}, user]) as content from shown""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    return _cited(spark, d).select("query_id", F.lit(answers.SYSTEM_PROMPT).alias("system"), answers.prompt("text", "citations").alias("user"))
+    """The messages that a generator gets for each question."""
+    turns = _cited(spark, d).select("query_id", F.posexplode(answers.messages("text", "citations")).alias("turn", "m"))
+    return turns.select("query_id", "turn", "m.role", "m.content")
 
 
 QUERIES, SQL = R.queries, R.sql

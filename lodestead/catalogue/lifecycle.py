@@ -101,9 +101,4 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return origins.select("origin", index.cache_key("origin", F.lit("hashed-words-64")).alias("cache_key"))
 
 
-@R.query("""select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1""")
-def event_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
 QUERIES, SQL = R.queries, R.sql

@@ -64,6 +64,20 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
     return _fetched_urls(spark, d).select("url", urls.canonical_url("url", F.lit(None).cast("string")).alias("canonical"))
 
 
+_NORMAL = r"""regexp_extract(lower({0}), '^(https?://[^/?#]+)', 1) || case when regexp_extract({0}, '^[a-zA-Z]+://[^/?#]+([^#]*)', 1) like '/%' then '' else '/' end || regexp_extract({0}, '^[a-zA-Z]+://[^/?#]+([^#]*)', 1)"""
+
+
+@R.query(rf"""with f as (select distinct fetch_id, url, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') as declared from fetched_pages where url is not null),
+o as (select *, regexp_extract(lower(url), '^(https?://[^/?#]+)', 1) as origin from f),
+r as (select *, case when declared like '/%' then origin || declared else declared end as resolved from o)
+select fetch_id, declared, case when regexp_extract(lower(resolved), '^(https?://[^/?#]+)', 1) = origin then {_NORMAL.format("resolved")} else {_NORMAL.format("url")} end as canonical from r""")
+def declared_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The URL to index each fetched page under, with the one that it declares."""
+    declared = F.nullif(F.regexp_extract("html", r'rel="canonical" href="([^"]*)"', 1), F.lit(""))
+    rows = table(spark, d, "fetched_pages").where("url is not null").select("fetch_id", "url", declared.alias("declared")).distinct()
+    return rows.select("fetch_id", "declared", urls.canonical_url("url", "declared").alias("canonical"))
+
+
 @R.query(rf"with {_URLS}, pathed as (select url, {S.URL_PARTS} as path from urls) select url, path like '%/' or regexp_matches(path, '(?i)/index\.[a-z0-9]+$') as is_index from pathed")
 def index_url_flag(spark: SparkSession, d: str) -> DataFrame:
     return _fetched_urls(spark, d).select("url", urls.is_index_url("url").alias("is_index"))

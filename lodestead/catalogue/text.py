@@ -167,14 +167,6 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
 _UNIQUE_CHUNKS = "uchunks as (select distinct * from chunks)"
 
 
-@R.query(f"""with {_UNIQUE_CHUNKS} select site, count(*) as n_chunks, count(distinct url) as n_pages, cast(max(length(body)) as int) as longest, cast(sum(length(body)) as bigint) as chars from uchunks group by 1""")
-def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select("id", "url", "site", "chunk_index", "heading_path", "text", "body").distinct()
-    return rows.groupBy("site").agg(
-        F.count("*").alias("n_chunks"), F.countDistinct("url").alias("n_pages"), F.max(F.length("body")).alias("longest"), F.sum(F.length("body")).alias("chars")
-    )
-
-
 @R.query(f"""with {_UNIQUE_CHUNKS}, firsts as (select id, heading_path, body, lead(heading_path) over (partition by url order by chunk_index, id) as nxt from uchunks)
 select id, coalesce(array_to_string(case when len(heading_path) <= len(nxt) and list_slice(nxt, 1, len(heading_path)) = heading_path then heading_path
  when len(heading_path) > len(nxt) and list_slice(heading_path, 1, len(nxt)) = nxt then nxt end, ' > '), '-') as shared from firsts""")
@@ -236,13 +228,12 @@ def extract_pages(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_pages(fetched).select("fetch_id", "url", "title", "description", "category", F.size("blocks").alias("n_blocks"), "text", "hash", "lang")
 
 
-@R.query(r"""with f as (select distinct fetch_id, html from fetched_pages where html is not null)
-select fetch_id, nullif(trim(regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1)), '') as lang, nullif(trim(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1)), '') as canonical from f""")
-def page_declarations(spark: SparkSession, d: str) -> DataFrame:
-    """Language and canonical URL that a page declares, straight from its markup."""
-    rows = table(spark, d, "fetched_pages").where("html is not null").select("fetch_id", "html").distinct()
-    pick = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
-    return rows.select("fetch_id", pick(r'<html[^>]*\blang="([^"]*)"').alias("lang"), pick(r'rel="canonical" href="([^"]*)"').alias("canonical"))
+@R.query(r"""with f as (select distinct fetch_id, html from fetched_pages where html is not null and status between 200 and 299)
+select fetch_id, coalesce(nullif(trim(regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1)), ''), 'en') as lang from f""")
+def page_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language that a page declares, as extraction gives it."""
+    fetched = table(spark, d, "fetched_pages").where("html is not null and status between 200 and 299").dropDuplicates(["fetch_id"])
+    return html.extract_pages(fetched).select("fetch_id", F.coalesce("lang", F.lit("en")).alias("lang"))
 
 
 QUERIES, SQL = R.queries, R.sql
