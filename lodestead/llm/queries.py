@@ -82,12 +82,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 nearest of every 20th vector by the hash of its id, against all; visits 40 % of the vectors for each."""
+    """The 5 nearest of every 20th vector by the hash of its id, against all; visits 40 % of the vectors for each, and no fewer than p6_found."""
     out = None
     for name, key in (("chunk_vectors", "id"), ("manifest_entries", "url")):
         vectors = neighbours.usable_vectors(table(spark, d, name).select(key, "vector"), key)
         asked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0)
-        found = neighbours.nearest(vectors, asked, wanted=int(0.4 * vectors.count()) + 1).select(F.lit(name).alias("source"), "id", "neighbour", "similarity", "place")
+        n = vectors.count()
+        found = neighbours.nearest(vectors, asked, wanted=max(neighbours.visits_for(n), int(0.4 * n) + 1)).select(F.lit(name).alias("source"), "id", "neighbour", "similarity", "place")
         out = found if out is None else out.unionByName(found)
     return out
 
