@@ -8,7 +8,7 @@ from lodestead.catalogue.registry import Registry
 from lodestead.functions.text import route_text
 from lodestead.operators import dense, fusion, lexical
 from lodestead.operators.site import unique_entries
-from lodestead.tables import table
+from lodestead.tables import persisted, table
 
 R = Registry()
 
@@ -33,15 +33,16 @@ def route_vectors(spark: SparkSession, d: str) -> DataFrame:
     return dense.usable(table(spark, d, "manifest_entries"), "url")
 
 
-def paired_queries(spark: SparkSession, d: str) -> DataFrame:
+def paired_queries(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id string, text, vector): each golden question with the vector of a chunk, both taken in order.
 
-    There is no model here that would embed a question, so the n-th question takes the n-th usable vector by id.
+    There is no model here that would embed a question, so the n-th question takes the n-th usable vector by id: these
+    queries test how searches are done, not what a question and its vector have to do with each other.
     """
     from pyspark.sql import Window
 
     questions = golden_queries(spark, d).withColumn("n", F.row_number().over(Window.orderBy("query_id")))
-    found = chunk_vectors(spark, d).orderBy("id").limit(questions.count())
+    found = (chunk_vectors(spark, d) if vectors is None else vectors).orderBy("id").limit(questions.count())
     vectors = found.withColumn("n", F.row_number().over(Window.orderBy("id"))).select("n", "vector")
     return questions.join(vectors, "n", "left").select(F.col("query_id").cast("string").alias("query_id"), "text", "vector")
 
@@ -94,13 +95,15 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"with {_QUERIES}, {_PAIRED}, {_DENSE} select query_id, id, round(dense, 6) as dense, cast(place as int) as place from near where place <= 10")
 def dense_batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    queries = paired_queries(spark, d).where("vector is not null").select("query_id", "vector")
-    return dense.search_all(chunk_vectors(spark, d), queries, 10).select("query_id", "id", F.round("dense", 6).alias("dense"), "place")
+    vectors = persisted(chunk_vectors(spark, d), "vectors")
+    queries = paired_queries(spark, d, vectors).where("vector is not null").select("query_id", "vector")
+    return dense.search_all(vectors, queries, 10).select("query_id", "id", F.round("dense", 6).alias("dense"), "place")
 
 
 def _lists(spark: SparkSession, d: str, depth: int) -> list[DataFrame]:
-    queries = paired_queries(spark, d)
-    near = dense.search_all(chunk_vectors(spark, d), queries.where("vector is not null").select("query_id", "vector"), depth)
+    vectors = persisted(chunk_vectors(spark, d), "vectors")
+    queries = paired_queries(spark, d, vectors)
+    near = dense.search_all(vectors, queries.where("vector is not null").select("query_id", "vector"), depth)
     return [near, lexical.bm25(chunk_texts(spark, d), queries.select("query_id", "text"), depth)]
 
 
@@ -129,19 +132,22 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @R.query(f"with {_BM25}, {_PAIRED}, {_DENSE}, {_fused(1, 1, 32, 8)} select {_HYBRID_COLUMNS} from hybrid")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(fusion.hybrid(chunk_texts(spark, d), chunk_vectors(spark, d), paired_queries(spark, d), limit=8))
+    vectors = persisted(chunk_vectors(spark, d), "vectors")
+    return _rounded(fusion.hybrid(chunk_texts(spark, d), vectors, paired_queries(spark, d, vectors), limit=8))
 
 
 @R.query(f"with {_BM25}, {_PAIRED}, {_DENSE}, {_fused(1, 1, 24, 6)} select {_HYBRID_COLUMNS} from hybrid where cast(dense as float) >= 0.28::double")
 def hybrid_grounded(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(fusion.grounded(fusion.hybrid(chunk_texts(spark, d), chunk_vectors(spark, d), paired_queries(spark, d), limit=6)))
+    vectors = persisted(chunk_vectors(spark, d), "vectors")
+    return _rounded(fusion.grounded(fusion.hybrid(chunk_texts(spark, d), vectors, paired_queries(spark, d, vectors), limit=6)))
 
 
 @R.query(f"""with {_BM25}, {_PAIRED}, {_DENSE}, {_fused(1, 1, 24, 6)}
 select p.query_id, count(h.id) > 0 as grounded, count(h.id) as n_citations from paired p left join hybrid h on h.query_id = p.query_id and cast(h.dense as float) >= 0.28::double group by 1""")
 def grounded_or_refused(spark: SparkSession, d: str) -> DataFrame:
-    queries = paired_queries(spark, d)
-    hits = fusion.grounded(fusion.hybrid(chunk_texts(spark, d), chunk_vectors(spark, d), queries, limit=6))
+    vectors = persisted(chunk_vectors(spark, d), "vectors")
+    queries = paired_queries(spark, d, vectors)
+    hits = fusion.grounded(fusion.hybrid(chunk_texts(spark, d), vectors, queries, limit=6))
     counted = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     return queries.select("query_id").join(counted, "query_id", "left").select("query_id", F.coalesce(F.col("n") > 0, F.lit(False)).alias("grounded"), F.coalesce("n", F.lit(0)).alias("n_citations"))
 

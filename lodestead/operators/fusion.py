@@ -11,17 +11,22 @@ from lodestead.operators import dense, lexical
 RRF_K, LEAST_CANDIDATES, RELEVANCE_FLOOR = 60, 24, 0.28
 
 
-def fuse(lists: list[DataFrame], weights: list[float] | None = None, limit: int | None = 20, k: int = RRF_K) -> DataFrame:
-    """(query_id, id, score, place) of ranked lists (query_id, id, place from 1), ties by id; a list of weight 0 is skipped."""
+def fuse(lists: list[DataFrame], weights: list[float] | None = None, limit: int | None = 20, k: int = RRF_K, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, score, place, *carry) of ranked lists (query_id, id, place from 1), ties by id.
+
+    A list of weight 0 ranks nothing. carry: columns of some lists that hits keep, null where no list has one for them;
+    they go through the same aggregation, so no list is joined again.
+    """
     weights = weights or [1.0] * len(lists)
-    parts = [df.select("query_id", "id", (F.lit(float(w)) / (F.lit(float(k)) + F.col("place"))).alias("part")) for df, w in zip(lists, weights) if w]
-    if not parts:
-        return lists[0].select("query_id", "id", F.lit(0.0).alias("score"), F.lit(0).alias("place")).limit(0)
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    scored = union.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    union = None
+    for df, w in zip(lists, weights):
+        part = df.select(
+            "query_id", "id", (F.lit(float(w)) / (F.lit(float(k)) + F.col("place"))).alias("part"), *(F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in carry)
+        )
+        union = part if union is None else union.unionByName(part)
+    scored = union.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.max("part").alias("most"), *(F.max(c).alias(c) for c in carry)).where("most > 0").drop("most")
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    ranked = ranked.select("query_id", "id", "score", "place", *carry)
     return ranked if limit is None else ranked.where(F.col("place") <= limit)
 
 
@@ -42,10 +47,9 @@ def hybrid(
     near = dense.search_all(vectors, queries.where("vector is not null").select("query_id", "vector"), depth)
     asked = queries.select("query_id", "text")
     words = ranked(asked, depth) if ranked else lexical.bm25(texts, asked, depth)
-    fused = fuse([near, words], list(weights), limit)
-    joined = fused.join(near.select("query_id", "id", "dense"), ["query_id", "id"], "left").join(words.select("query_id", "id", F.col("score").alias("lexical")), ["query_id", "id"], "left")
+    fused = fuse([near, words.withColumn("lexical", F.col("score"))], list(weights), limit, carry=("dense", "lexical"))
     zero = F.lit(0.0)
-    return joined.select("query_id", "id", "score", F.coalesce("dense", zero).alias("dense"), F.coalesce("lexical", zero).alias("lexical"), "place")
+    return fused.select("query_id", "id", "score", F.coalesce("dense", zero).alias("dense"), F.coalesce("lexical", zero).alias("lexical"), "place")
 
 
 def grounded(hits: DataFrame, floor: float = RELEVANCE_FLOOR) -> DataFrame:
