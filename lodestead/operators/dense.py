@@ -41,10 +41,10 @@ def search(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("dense"), "id").limit(k)
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_all(vectors: DataFrame, queries: DataFrame | list, k: int = 10) -> DataFrame:
     """(query_id, id, dense, place): for each of queries(query_id string, vector) the k vectors of largest cosine, ties by id.
 
-    The queries go to the executors in passes of at most QUERY_FLOATS numbers. Every task keeps k hits per query of
+    queries may be rows at hand as well. They go to the executors in passes of at most QUERY_FLOATS numbers. Every task keeps k hits per query of
     each Arrow batch before the shuffle.
     """
     spark, out = vectors.sparkSession, None
@@ -75,7 +75,7 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
         return vectors.select("id", "vector").mapInArrow(run, "query_id string, id string, dense double")
 
     width = 1
-    for r in queries.select("query_id", "vector").toLocalIterator():
+    for r in queries if isinstance(queries, list) else queries.select("query_id", "vector").toLocalIterator():
         width = max(width, len(r.vector))
         block.append(r)
         if len(block) * width >= QUERY_FLOATS:

@@ -36,15 +36,16 @@ def candidates_for(limit: int) -> int:
 
 def hybrid(
     texts: DataFrame | None, vectors: DataFrame, queries: DataFrame, limit: int = 8, candidates: int | None = None, weights: tuple[float, float] = (1.0, 1.0),
-    ranked: Callable[[DataFrame, int], DataFrame] | None = None,
+    ranked: Callable[[DataFrame, int], DataFrame] | None = None, rows: list | None = None,
 ) -> DataFrame:
     """(query_id, id, score, dense, lexical, place) for queries(query_id string, text, vector).
 
     Both retrievers give their best candidates, which are fused. A hit that only one of them has reports 0 for the
     other, whatever its true score is. ranked(queries, depth) ranks by words where there is an index; else texts are read.
+    rows: the queries with a vector, where the caller has them at hand.
     """
     depth = candidates or candidates_for(limit)
-    near = dense.search_all(vectors, queries.where("vector is not null").select("query_id", "vector"), depth)
+    near = dense.search_all(vectors, queries.where("vector is not null").select("query_id", "vector") if rows is None else rows, depth)
     asked = queries.select("query_id", "text")
     words = ranked(asked, depth) if ranked else lexical.bm25(texts, asked, depth)
     fused = fuse([near, words.withColumn("lexical", F.col("score"))], list(weights), limit, carry=("dense", "lexical"))

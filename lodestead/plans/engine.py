@@ -209,7 +209,7 @@ class Engine:
     def _hits(self, name: str, query: DataFrame, limit: int) -> DataFrame:
         rows = self.store.table(name)
         vectors = rows.select("id" if name == "chunks" else F.col("url").alias("id"), "vector").where("vector is not null")
-        return fusion.hybrid(None, vectors, query, limit, ranked=lambda asked, depth: self.store.bm25(name, asked, depth))
+        return fusion.hybrid(None, vectors, query, limit, ranked=lambda asked, depth: self.store.bm25(name, asked, depth), rows=query.collect())
 
     def _citations(self, query: DataFrame) -> list[dict]:
         hits = fusion.grounded(self._hits("chunks", query, PASSAGES))

@@ -55,6 +55,7 @@ class Store:
                 "backfill": {"startedAt": None, "completedAt": None},
             })
         self.buckets = self.meta()["buckets"]
+        self._read: dict[str, tuple[list[str], DataFrame]] = {}
 
     # meta
 
@@ -114,7 +115,13 @@ class Store:
         paths = [f"{self.root}/{name}-{version}/bucket={b}" for b, version in at.items() if version and (buckets is None or int(b) in buckets)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+        if buckets is not None:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+        # the files of a version never change, so they are listed once for all questions
+        held = self._read.get(name)
+        if held is None or held[0] != paths:
+            held = self._read[name] = (paths, self.spark.read.schema(SCHEMAS[name]).parquet(*paths))
+        return held[1]
 
     def touched(self, urls: DataFrame) -> list[int]:
         """The buckets of urls(url)."""
