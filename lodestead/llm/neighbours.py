@@ -23,8 +23,8 @@ FEWEST, MOST = 8, 2048
 #: A tile of the grid of cells holds about TILE_ROWS vectors; one task compares about PART_ROWS vectors of a tile at most
 #: with about ASK_ROWS queries. How many queries a tile has is told from PROBES of them, for the size of tasks alone.
 TILE_ROWS, PART_ROWS, ASK_ROWS, PROBES = 262_144, 262_144, 262_144, 2000
-#: Cosines that a task holds at a time.
-PRODUCTS = 8_000_000
+#: Cosines that a task holds at a time, and about as many as it computes.
+PRODUCTS, WORK = 8_000_000, 250_000_000
 #: Groups of centroids of a half, at least, whose pairs are the tiles.
 FEWEST_GROUPS = 2
 #: Vectors that a query visits, at least; of larger tables WANTED_ROOT times the square root of the number of vectors.
@@ -136,14 +136,16 @@ class Codebooks:
         one, two = (self._grouped(c, groups) for c in (self.first, self.second))
         self.tile = (one[:, None] * groups + two[None, :]).ravel().astype(np.int32)
 
-    def asks(self, probes: np.ndarray, filled: np.ndarray, wanted: int) -> np.ndarray:
-        """Share of the probes that visit each tile."""
+    def asks(self, probes: np.ndarray, filled: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tile the share of the probes that visit it, and the vectors that a probe visits there on average."""
         seen = np.zeros(int(self.tile.max()) + 1)
+        visits = np.zeros(len(seen))
         for s in range(0, len(probes), 1024):
             q, cell = traverse_all(*self.distances(probes[s : s + 1024]), filled, wanted)
             pairs = np.unique(q * len(seen) + self.tile[cell])
             seen += np.bincount(pairs % len(seen), minlength=len(seen))
-        return seen / max(1, len(probes))
+            visits += np.bincount(self.tile[cell], filled.ravel()[cell], minlength=len(seen))
+        return seen / max(1, len(probes)), visits / max(1, len(probes))
 
     @staticmethod
     def _grouped(centroids: np.ndarray, groups: int) -> np.ndarray:
@@ -270,8 +272,10 @@ def nearest(
     filled = filled.reshape(-1, k2)
     # the tasks of a tile: parts of its vectors times parts of its queries
     sizes = np.bincount(books.tile, filled.ravel(), minlength=int(books.tile.max()) + 1)
-    asks = books.asks(probes, filled, wanted) * (n if queries is None else queries.count())
-    parts, salts = (np.maximum(1, np.ceil(r / most)).astype(np.int32) for r, most in ((sizes, PART_ROWS), (asks, ASK_ROWS)))
+    share, visits = books.asks(probes, filled, wanted)
+    n_asked = n if queries is None else queries.count()
+    parts = np.maximum(1, np.ceil(sizes / PART_ROWS)).astype(np.int32)
+    salts = np.maximum(1, np.ceil(np.maximum(share * n_asked / ASK_ROWS, visits * n_asked / parts / WORK))).astype(np.int32)
     shared = context.broadcast((filled, parts, salts))
 
     def tasks_of(tile: np.ndarray, key: np.ndarray, asks: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +332,10 @@ def nearest(
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
 
             def kth(sims: np.ndarray) -> np.ndarray:
-                """The k-th largest of each row besides the query itself, or less."""
+                """The k-th largest of each row besides the query itself, or less: that of the largest of blocks of a long row."""
+                if sims.shape[1] >= 64 * 4 * (k + 1):
+                    even = sims.shape[1] // 64 * 64
+                    sims = sims[:, :even].reshape(len(sims), -1, 64).max(axis=2)
                 at = max(0, sims.shape[1] - k - 1)
                 return np.partition(sims, at, axis=1)[:, at : at + 1]
 
