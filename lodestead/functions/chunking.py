@@ -41,53 +41,57 @@ def carried(text: str, chars: int) -> str:
     return tail[tail.find(" ") + 1 :].strip()
 
 
+def sections(blocks: list[dict]) -> Iterator[tuple[list[str], list[str]]]:
+    """(heading path, texts) of each stretch of blocks between two headings; blank blocks count for nothing."""
+    path: dict[int, str] = {}
+    texts: list[str] = []
+    for block in blocks:
+        text = (block["text"] or "").strip()
+        if text and block["type"] == "heading":
+            if texts:
+                yield [path[k] for k in sorted(path)], texts
+            level = 2 if block["level"] is None else min(6, max(1, round(block["level"])))
+            path, texts = {k: v for k, v in path.items() if k < level} | {level: text}, []
+        elif text:
+            texts.append(text)
+    if texts:
+        yield [path[k] for k in sorted(path)], texts
+
+
+def cut_long(text: str, target: int, most: int, overlap: int) -> list[str]:
+    """A text as pieces of at most `most` characters, each but the first with the end of the one before it."""
+    pieces = []
+    while len(text) > most:
+        at = break_point(text, target, most)
+        pieces.append(text[:at].strip())
+        again, text = carried(pieces[-1], overlap), text[at:].lstrip()
+        text = f"{again} {text}" if again else text
+    return [*pieces, text]
+
+
+def packed(texts: list[str], target: int, most: int, overlap: int) -> list[str]:
+    """The texts of a section as pieces: a text joins the last piece while both stay within the target; long ones are cut."""
+    pieces: list[str] = []
+    for text in texts:
+        if pieces and pieces[-1] and len(pieces[-1]) + len(text) <= target:
+            text = f"{pieces.pop()}\n{text}"
+        pieces += cut_long(text, target, most, overlap)
+    return pieces
+
+
 def chunk_blocks(blocks: list[dict], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[list[str], str]]:
-    """(heading path, body) of each chunk. A heading ends the chunk before it; a short chunk joins the one before if one
-    of their heading paths begins the other.
+    """(heading path, body) of each chunk: the pieces of the sections, of which a short one joins the piece before it if
+    the heading path of one begins that of the other; what is joined keeps the shorter path.
     """
     out: list[tuple[list[str], str]] = []
-    levels: dict[int, str] = {}
-    held, held_path = "", []
-
-    def path() -> list[str]:
-        return [levels[k] for k in sorted(levels)]
-
-    def emit(text: str, where: list[str]) -> None:
-        text = text.strip()
-        if not text:
-            return
-        if len(text) < least and out and len(out[-1][1]) + len(text) < most:
-            before, body = out[-1]
-            short, long = sorted((before, where), key=len) if len(before) != len(where) else (before, where)
-            if long[: len(short)] == short:
-                out[-1] = (short, f"{body}\n{text}")
-                return
-        out.append((where, text))
-
-    for block in blocks:
-        text = (block["text"] or "").strip()
-        if not text:
-            continue
-        if block["type"] == "heading":
-            emit(held, held_path)
-            held = ""
-            level = block["level"]
-            level = 2 if level is None else min(6, max(1, round(level)))
-            levels = {k: v for k, v in levels.items() if k < level} | {level: text}
-            continue
-        if held and len(held) + len(text) > target:
-            emit(held, held_path)
-            held = ""
-        if not held:
-            held_path = path()
-        held = f"{held}\n{text}" if held else text
-        while len(held) > most:
-            cut = break_point(held, target, most)
-            head, tail = held[:cut].strip(), held[cut:].lstrip()
-            emit(head, held_path)
-            again = carried(head, overlap)
-            held, held_path = (f"{again} {tail}" if again else tail), path()
-    emit(held, held_path)
+    for path, texts in sections(blocks):
+        for piece in filter(None, map(str.strip, packed(texts, target, most, overlap))):
+            before, body = out[-1] if out else ([], "")
+            common = min(len(path), len(before))
+            if out and len(piece) < least and len(body) + len(piece) < most and path[:common] == before[:common]:
+                out[-1] = (path[:common], f"{body}\n{piece}")
+            else:
+                out.append((path, piece))
     return out
 
 
