@@ -153,3 +153,18 @@ def test_config():
     c = resolve_config({"max_pages": "99999", "enrich": "maybe", "debug": "", "enrich_pages": "0", "sitemap": "javascript:x", "max_tier": "STANDARD"}, "https://m.example/x/")
     assert (c.max_pages, c.enrich, c.debug, c.enrich_pages, c.sitemap, c.max_tier) == (5000, "idle", True, 0, "https://m.example/sitemap.xml", "standard") and len(c.warnings) == 3
     assert resolve_config({"max_pages": "x"}).max_pages == 500 and lower_tier("standard", "small") == "small"
+
+
+def test_tiers(spark):
+    from lodestead.operators.tiers import tier
+
+    big, mb = 2 << 30, 1 << 20
+    rows = [
+        (0, None, None, None, big, big, 16, "standard"), (1, True, True, None, big, big, 16, "standard"), (2, True, False, "2g", big, big, 16, "standard"), (3, True, False, "4g", 100 * mb, big, 16, "standard"),
+        (4, True, False, None, None, None, None, "standard"), (5, True, False, None, big, big, None, "standard"), (6, True, False, None, big, big, 4, "standard"), (7, True, False, None, big, big, 16, "small"),
+        (8, True, False, None, big, 100 * mb, 16, "retrieval"), (9, True, False, None, big, big, 16, "retrieval"),
+    ]
+    df = spark.createDataFrame(rows, "i int, webgpu boolean, save_data boolean, effective_type string, max_buffer bigint, max_binding bigint, memory_gb int, ceiling string")
+    got = {r.i: (r.t.tier, r.t.capped) for r in df.select("i", tier("ceiling").alias("t")).collect()}
+    want = ["retrieval"] * 4 + ["small", "standard", "small", "small", "retrieval", "retrieval"]
+    assert [got[i][0] for i in range(10)] == want and {i for i, x in got.items() if x[1]} == {7, 9}
