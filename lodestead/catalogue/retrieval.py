@@ -123,6 +123,8 @@ def rrf_lexical_only(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(_lists(spark, d, 24), [0.0, 1.0]).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
+_ROUTE_VECTORS = S.usable_vectors("manifest_entries", "url", "vectors") + f", units as (select id, {S.unit('vector')} as u from vectors)"
+_PAIRED_ROUTES = _PAIRED.replace(_VECTORS, _ROUTE_VECTORS)
 _HYBRID_COLUMNS = "query_id, id, round(score, 6) as score, round(dense, 6) as dense, round(lexical, 6) as lexical, cast(place as int) as place"
 
 
@@ -136,6 +138,13 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fusion.hybrid(chunk_texts(spark, d), vectors, paired_queries(spark, d, vectors), limit=8))
 
 
+@R.query(f"with {_ENTRIES}, {_QUERIES}, {S.bm25('routes', 'queries')}, {_PAIRED_ROUTES}, {_DENSE}, {_fused(1, 1, 36, 9)} select {_HYBRID_COLUMNS} from hybrid")
+def hybrid_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The pages to read for each question, as the engine looks for them where no passage is close enough."""
+    vectors = persisted(route_vectors(spark, d), "vectors")
+    return _rounded(fusion.hybrid(route_texts(spark, d), vectors, paired_queries(spark, d, vectors), limit=9))
+
+
 @R.query(f"with {_BM25}, {_PAIRED}, {_DENSE}, {_fused(1, 1, 24, 6)} select {_HYBRID_COLUMNS} from hybrid where cast(dense as float) >= 0.28::double")
 def hybrid_grounded(spark: SparkSession, d: str) -> DataFrame:
     vectors = persisted(chunk_vectors(spark, d), "vectors")
